@@ -150,7 +150,8 @@ def top_k(
     n, m = rows.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
     shards, blocks = max(1, ceil(n / SHARD_ROWS)), max(1, ceil(m / BLOCK_QUERIES))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(shards)).cast("int"))
-    queries = rows.where(is_query).dropDuplicates(["id"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int"))
+    block = F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int")
+    queries = scratch.keep(rows.where(is_query).dropDuplicates(["id"]).withColumn("block", block))
     shape = "query_id long, vec_id long, score long"
 
     def search(q: DataFrame, which) -> DataFrame:

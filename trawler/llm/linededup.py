@@ -11,10 +11,11 @@ a run of any length goes as a whole, and its first occurrence stays.
 The result is exact: a line is deleted if and only if it lies in a window whose lines, in that
 order, occur at an earlier position.
 
-Defined results: a null text is an empty one without lines to delete and stays null; runs below
-min_words words stay; repeated rows (equal doc_id too) count as later ones by their place in a
-window's order only if a doc_id differs, so give rows unique ids; extra columns are ignored by the
-operator and kept by `drop_repeats`; an empty table gives an empty table.
+Defined results: a null text has no lines to delete and stays null; runs below min_words words stay;
+rows that repeat both doc_id and text stand at one place, so none is later than the other, while rows
+that share a doc_id only are told apart by their texts; a row without doc_id is neither changed nor
+an earlier place; extra columns are ignored by `repeats` and kept by `drop_repeats`; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -61,42 +62,46 @@ def windows(text: str, min_words: int) -> list[tuple[int, int, bytes, int]]:
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, spans array<struct<first, stop>>): the windows of lines to delete, for documents that have any."""
+    """(doc_id, twin, spans array<struct<first, stop>>): the windows of lines to delete, for documents that
+    have any; twin is the xxhash64 of the text."""
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     span = pa.struct([("first", pa.int32()), ("stop", pa.int32()), ("content", pa.binary())])
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in slices(batches):
-            ids, prints, spans = [], [], []
+            ids, twins, prints, spans = [], [], [], []
             for key, text in zip(keys, texts, strict=True):
                 chosen: dict[int, list] = {}
                 for first, stop, content, at in windows(text, min_words):
                     chosen.setdefault(at, []).append({"first": first, "stop": stop, "content": content})
                 if chosen:
                     lines = text.split("\n")
+                    twin = xxhash.xxh64_intdigest(text.encode(), 42)
                     for at, held in chosen.items():
                         ids.append(key)
+                        twins.append(twin - (twin >> 63 << 64))
                         prints.append(xxhash.xxh64_intdigest(lines[at].encode()) - 2**63)
                         spans.append(held)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(prints, pa.int64()), pa.array(spans, pa.list_(span))], ["doc_id", "fingerprint", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(twins, pa.int64()), pa.array(prints, pa.int64()), pa.array(spans, pa.list_(span))], ["doc_id", "twin", "fingerprint", "spans"])
 
     selected = columns(docs, doc_id=id_col, text=text_col).where("doc_id is not null").mapInArrow(
-        select, "doc_id long, fingerprint long, spans array<struct<first: int, stop: int, content: binary>>"
+        select, "doc_id long, twin long, fingerprint long, spans array<struct<first: int, stop: int, content: binary>>"
     )
     selected = scratch.keep(selected)
     shared = selected.groupBy("fingerprint").agg(F.count("*").alias("n"), F.max(F.size("spans")).alias("most")).where("n > 1 or most > 1").select("fingerprint")
-    spans = selected.join(shared, "fingerprint", "left_semi").select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.first", "s.stop", "s.content")
+    spans = selected.join(shared, "fingerprint", "left_semi").select("doc_id", "twin", F.explode("spans").alias("s")).select("doc_id", "twin", "s.first", "s.stop", "s.content")
     spans = scratch.keep(spans)
-    lead = spans.groupBy("content").agg(F.min(F.struct("doc_id", "first")).alias("lead"), F.count("*").alias("n")).where("n > 1").select("content", "lead")
-    later = spans.join(lead, "content").where((F.col("doc_id") != F.col("lead.doc_id")) | (F.col("first") != F.col("lead.first")))
-    return later.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("first", "stop"))).alias("spans"))
+    lead = spans.groupBy("content").agg(F.min(F.struct("doc_id", "twin", "first")).alias("lead"), F.count("*").alias("n")).where("n > 1").select("content", "lead")
+    place = F.struct("doc_id", "twin", "first")
+    later = spans.join(lead, "content").where(place != F.col("lead"))
+    return later.groupBy("doc_id", "twin").agg(F.sort_array(F.collect_set(F.struct("first", "stop"))).alias("spans"))
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, scratch: Scratch | None = None) -> DataFrame:
     """docs with the repeated lines gone from its text, and _lines, _removed: how many there were and went."""
-    found = repeats(docs, id_col, text_col, min_words, scratch).select(F.col("doc_id").alias("_of"), F.col("spans").alias("_spans"))
+    found = repeats(docs, id_col, text_col, min_words, scratch).select(F.col("doc_id").alias("_of"), F.col("twin").alias("_twin"), F.col("spans").alias("_spans"))
     lines = F.split(F.col(text_col), "\n", -1)
-    joined = docs.join(found, docs[id_col] == found["_of"], "left").withColumn("_all", lines)
+    joined = docs.join(found, (docs[id_col] == found["_of"]) & (F.xxhash64(docs[text_col]) == found["_twin"]), "left").withColumn("_all", lines)
     # spans are sorted and windows of one text never nest, so a line is covered if any window holds it
     covered = F.flatten(F.transform("_spans", lambda s: F.sequence(s["first"], s["stop"] - 1)))
     joined = joined.withColumn("_gone", F.when(F.col("_spans").isNotNull(), F.array_distinct(covered)))
@@ -104,7 +109,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     counted = joined.withColumn("_lines", F.coalesce(F.size("_all"), F.lit(0)).cast("long")).withColumn("_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
     counted = counted.withColumn("_lines", F.greatest("_lines", F.lit(0))).withColumn("_removed", F.greatest("_removed", F.lit(0)))
-    return counted.withColumn(text_col, text).drop("_of", "_spans", "_all", "_gone")
+    return counted.withColumn(text_col, text).drop("_of", "_twin", "_spans", "_all", "_gone")
 
 
 #: The same result in DuckDB: every window of lines by its whole text, and the first place it stands at.

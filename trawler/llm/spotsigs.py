@@ -11,7 +11,7 @@ Everything is a DataFrame expression; no Python runs on the executors.
 
 Defined results: null texts are empty texts. A text without any anchor has its whole text, in lower
 case, as its one signature, so equal texts are always alike by 1 and others of that kind by 0.
-Repeated rows give equal fingerprints; extra columns are ignored; an empty table gives an empty one.
+Repeated rows give equal fingerprints and are each other's neighbours; rows without doc_id come last; extra columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -86,7 +86,8 @@ def with_next(docs: DataFrame, scratch: Scratch, bucket_rows: int = 256) -> Data
     facts = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     low, high, count = facts[0] or 0, facts[1] or 0, facts[2]
     width = max(1, math.ceil((high - low + 1) / max(1, math.ceil(count / bucket_rows))))
-    placed = docs.withColumn("bucket", F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(low)) / F.lit(width)).cast("long"))
+    bucket = F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(low)) / F.lit(width)).cast("long")
+    placed = docs.withColumn("bucket", F.coalesce(bucket, F.lit(2**50)))  # rows without an id come last
     order = Window.partitionBy("bucket").orderBy("doc_id", "text")
     seen = placed.withColumn("next_text", F.lead("text").over(order)).withColumn("n", F.row_number().over(order)).withColumn("has_next", F.lead(F.lit(True)).over(order))
     following = _following(docs.sparkSession, placed.select("bucket").distinct(), scratch)
