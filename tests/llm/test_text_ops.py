@@ -84,7 +84,7 @@ def edits(a: str, b: str) -> int:
 @given(st.text("abcd", max_size=7), st.lists(st.text("abcd", min_size=1, max_size=6), min_size=1, max_size=6, unique=True), st.integers(0, 2))
 def test_automaton_equals_edit_distance(word, terms, k):
     best = min((edits(word, t), t) for t in terms)
-    assert toxicity.FuzzyTrie(terms, [], k).find(word) == ((best[1], best[0]) if best[0] <= k else None)
+    assert toxicity.FuzzyTrie(dict.fromkeys(terms, k), []).find(word) == ((best[1], best[0]) if best[0] <= k else None)
 
 
 def test_quotation_and_misspelling():
@@ -95,6 +95,22 @@ def test_quotation_and_misspelling():
     assert score("a calm line") < 0.5 and score("") == score("nothing here")
 
 
+@pytest.mark.parametrize("n", [60, 20_000])
+def test_weights_settle_on_separable_rows(n):
+    rng = np.random.default_rng(n)
+    y = (rng.random(n) < 0.1).astype(float)
+    x = np.zeros((n, 7))
+    x[:, 0], x[:, 1], x[:, 5] = 1, y * 3 * (rng.random(n) < 0.9), y * 1.2
+    w = toxicity.fit_weights(x, y)
+    p = 1 / (1 + np.exp(-(x @ w)))
+    assert np.abs(w).max() < 30 and (n < 100 or ((p >= 0.5) == (y > 0)).all())
+
+
+def test_stems_stand_for_many_forms_only():
+    counts = [("pathetic", 50, 0), ("path*", 50, 0), ("pathe*", 50, 0), ("lowei*", 60, 0), ("lowe*", 60, 40), ("loweia", 20, 0), ("loweib", 22, 0), ("the", 100, 900)]
+    assert set(toxicity.learn_terms(counts, 100, 900)) == {"pathetic", "lowei*"}
+
+
 def test_fit_learns_and_holds_out(spark, odd_docs, no_docs):
     rng = random.Random(3)
     calm = [f"w{i}" for i in range(300)]

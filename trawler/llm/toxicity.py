@@ -39,32 +39,48 @@ WINDOW, ONE_EDIT, TWO_EDITS = 8, 5, 9
 #: Stem lengths that the lexicon may hold, its size, the likelihood ratio a term must reach.
 STEMS, MOST_TERMS, EVIDENCE = (4, 5, 6, 7), 1000, 18.0
 
+#: States that a worker's automaton remembers before it starts afresh.
+MOST_STATES = 50_000
+
 _WORD = re.compile(r"[^\W_]+")
+_EDGES = ".,:;!?\"'()*-&%#“”„«»"
+
+HITS = pa.list_(pa.struct([("term", pa.string()), ("edits", pa.int32()), ("place", pa.int64()), ("quoted", pa.bool_())]))
+HITS_SQL = "hits array<struct<term: string, edits: int, place: long, quoted: boolean>>"
 
 #: Prior means of the model: bias, then the features of `featurize`.
 PRIOR = np.array([-2.5, 4.0, 0.5, 2.5, 0.2, 0.5, 0.3])
 
 
 class FuzzyTrie:
-    """Terms and stems in a trie, intersected with a Levenshtein automaton of at most `edits` edits."""
+    """Terms, each with the edits it lets pass, and stems in a trie, intersected with Levenshtein automata."""
 
-    def __init__(self, words: list[str], stems: list[str], edits: int):
-        self.edits = edits
+    def __init__(self, words: dict[str, int], stems: list[str]):
         self.child: list[dict[str, int]] = [{}]
         self.ends: dict[int, str] = {}
         self.stem_ends: dict[int, str] = {}
+        self.limit = words
+        self.reach = [0]  # the most edits that any term below a node lets pass
         for terms, ends in ((words, self.ends), (stems, self.stem_ends)):
             for term in terms:
-                node = 0
+                node, edits = 0, words.get(term, 0) if ends is self.ends else 0
+                self.reach[0] = max(self.reach[0], edits)
                 for c in term:
                     if c not in self.child[node]:
                         self.child[node][c] = len(self.child)
                         self.child.append({})
+                        self.reach.append(0)
                     node = self.child[node][c]
+                    self.reach[node] = max(self.reach[node], edits)
                 ends[node] = term
+        self._forget()
+
+    def _forget(self) -> None:
         self.ids: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
+        self.whole: list[str | None] = []  # the stem that a state has just met without an edit
+        self.dead = self._state(set())
         self.start = self._state({(0, 0)})
 
     def _state(self, pairs: set[tuple[int, int]]) -> int:
@@ -73,7 +89,7 @@ class FuzzyTrie:
         todo = list(pairs)
         while todo:
             node, e = todo.pop()
-            if e > self.edits or best.get(node, 99) <= e:
+            if e > self.reach[node] or best.get(node, 99) <= e:
                 continue
             best[node] = e
             todo += [(x, e + 1) for x in self.child[node].values()]
@@ -82,6 +98,7 @@ class FuzzyTrie:
             self.ids[key] = len(self.states)
             self.states.append(key)
             self.moves.append({})
+            self.whole.append(next((self.stem_ends[n] for n, e in sorted(key) if not e and n in self.stem_ends), None))
         return self.ids[key]
 
     def _move(self, state: int, c: str) -> int:
@@ -95,16 +112,17 @@ class FuzzyTrie:
 
     def find(self, word: str) -> tuple[str, int] | None:
         """(term, edits) of the nearest term, ties to the first by code point; a stem found whole counts as no edit."""
-        state, moves = self.start, self.moves
+        if len(self.states) > MOST_STATES:
+            self._forget()
+        state, dead, moves, whole = self.start, self.dead, self.moves, self.whole
         stem = None
         for c in word:
             to = moves[state].get(c)
             state = self._move(state, c) if to is None else to
-            if not self.states[state]:
+            if state == dead:
                 return (stem, 0) if stem else None
-            if self.stem_ends and stem is None:
-                stem = next((self.stem_ends[n] for n, e in self.states[state] if not e and n in self.stem_ends), None)
-        found = [(e, self.ends[n]) for n, e in self.states[state] if n in self.ends]
+            stem = stem or whole[state]
+        found = [(e, self.ends[n]) for n, e in self.states[state] if n in self.ends and e <= self.limit[self.ends[n]]]
         if stem:
             found.append((0, stem))
         if not found:
@@ -115,9 +133,11 @@ class FuzzyTrie:
 
 @dataclass
 class Model:
-    """A fitted lexicon (term -> log odds; stems end with *) and the weights of the features."""
+    """A fitted lexicon (term -> log odds; stems end with *), the terms that are looked for as they are
+    spelled only, and the weights of the features."""
 
     terms: dict[str, float] = field(default_factory=dict)
+    strict: frozenset[str] = frozenset()
     weights: np.ndarray = field(default_factory=lambda: PRIOR.copy())
 
     def __post_init__(self):
@@ -126,26 +146,23 @@ class Model:
     def _build(self):
         words = [t for t in self.terms if not t.endswith("*")]
         stems = [t[:-1] for t in self.terms if t.endswith("*")]
-        self.exact = FuzzyTrie(words, stems, 0)
-        self.one = FuzzyTrie([w for w in words if ONE_EDIT <= len(w) < TWO_EDITS], [], 1)
-        self.two = FuzzyTrie([w for w in words if len(w) >= TWO_EDITS], [], 2)
+        self.trie = FuzzyTrie({w: 0 if w in self.strict else (len(w) >= ONE_EDIT) + (len(w) >= TWO_EDITS) for w in words}, stems)
 
     def __getstate__(self):
-        return self.terms, self.weights
+        return self.terms, self.strict, self.weights
 
     def __setstate__(self, state):
-        self.terms, self.weights = state
+        self.terms, self.strict, self.weights = state
         self._build()
 
     def match(self, token: str) -> tuple[str, int] | None:
         """The nearest term to any word inside a token."""
+        bare = token.strip(_EDGES)
+        if bare.isalnum():
+            return self.trie.find(bare)
         best = None
-        for word in _WORD.findall(token):
-            found = self.exact.find(word)
-            if found is None and len(word) >= ONE_EDIT - 1:
-                found = self.one.find(word)
-                if found is None and len(word) >= TWO_EDITS - 2:
-                    found = self.two.find(word)
+        for word in _WORD.findall(bare):
+            found = self.trie.find(word)
             if found and (best is None or found[1] < best[1]):
                 best = found
         return best
@@ -200,19 +217,28 @@ def _terms_of(text: str) -> set[str]:
 
 def learn_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
     """The lexicon from (term, toxic texts, other texts) counts: terms whose likelihood ratio reaches
-    EVIDENCE; a stem is kept for its longer forms only where it is as clean as they are."""
+    EVIDENCE and a quarter of the best one's. A stem is kept only where no single word makes up most of its texts, and replaces the
+    words and longer stems that start with it."""
+    rate = toxic / (toxic + clean)
+    leading: dict[str, int] = {}
+    for term, a, _ in counts:
+        if not term.endswith("*"):
+            for n in STEMS:
+                if len(term) > n:
+                    leading[term[:n] + "*"] = max(leading.get(term[:n] + "*", 0), a)
     scored = []
     for term, a, b in counts:
-        rate = toxic / (toxic + clean)
-        n, p = a + b, a / (a + b)
-        if p <= rate:
+        p = a / (a + b)
+        if p <= rate or leading.get(term, 0) > 0.7 * a:
             continue
         g = 2 * (a * np.log(p / rate) + (b * np.log((1 - p) / (1 - rate)) if b else 0))
         odds = float(np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (clean + 1)))
         if g >= EVIDENCE and odds >= 2.0 and p >= 0.8:
-            scored.append((-g, len(term), term, odds))
+            scored.append((-round(float(g), 6), term.endswith("*"), -len(term), term, odds))
     out: dict[str, float] = {}
-    for _, _, term, odds in sorted(scored)[: 20 * MOST_TERMS]:
+    for g, *_, term, odds in sorted(scored):
+        if 4 * g > min(scored)[0]:
+            break
         bare = term.rstrip("*")
         if not any(bare[:n] + "*" in out for n in STEMS if n <= len(bare)):
             out[term] = odds
@@ -238,54 +264,99 @@ def fit(
     rows = columns(docs, key=id_col, text=text_col).join(F.broadcast(chosen), "key").select(F.col("label").cast("int").alias("label"), "text", "key")
     sample = scratch.keep(rows)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            toxic, clean = Counter(), Counter()
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                (toxic if label else clean).update(_terms_of(text or ""))
-            terms = list(toxic.keys() | clean.keys())
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([toxic[t] for t in terms], pa.int64()), pa.array([clean[t] for t in terms], pa.int64())], ["term", "a", "b"])
+    def count(model: Model):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                toxic, clean, left = Counter(), Counter(), 0
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                known = model.hits(texts) if model.terms else [[]] * len(texts)
+                for label, text, hits in zip(batch.column(0).to_pylist(), texts, known, strict=True):
+                    if not any(edits == 0 for _, edits, *_ in hits):
+                        left += label > 0
+                        (toxic if label > 0 else clean).update(_terms_of(text))
+                terms = ["", *(toxic.keys() | clean.keys())]
+                toxic[""] = left
+                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([toxic[t] for t in terms], pa.int64()), pa.array([clean[t] for t in terms], pa.int64())], ["term", "a", "b"])
+
+        return run
 
     sizes = {r.label: r["n"] for r in sample.groupBy((F.col("label") > 0).cast("int").alias("label")).agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         return Model()
-    counts = sample.mapInArrow(count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    # bounded by the likely terms of a bounded sample
-    likely = counts.where((F.col("a") >= 3) & (F.col("a") >= 4 * F.col("b"))).orderBy(F.desc("a"), "term").limit(200 * MOST_TERMS)
-    model = Model(learn_terms([tuple(r) for r in likely.collect()], toxic, clean))
-
-    def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = sample.mapInArrow(count(Model()), "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    likely = scratch.keep(counts.where((F.col("a") >= 3) & (F.col("a") >= 4 * F.col("b"))))
+    # each round explains some toxic texts; only terms of those not explained yet are learned next, so
+    # words that merely keep company with a term in copies of a text gather no evidence of their own
+    terms: dict[str, float] = {}
+    found, left = likely, toxic
+    while left and len(terms) < MOST_TERMS:
+        # bounded by the terms of a bounded sample
+        rows = found.where("term <> ''").orderBy(F.desc("a"), "term").limit(200 * MOST_TERMS).collect()
+        new = {t: o for t, o in learn_terms([(r.term, r.a, r.b) for r in rows], left, clean).items() if t not in terms}
+        if not new:
+            break
+        terms |= new
+        rest = sample.where("label > 0").mapInArrow(count(Model(terms)), "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"))
+        rest = scratch.keep(rest.where("a >= 3 or term = ''"))
+        left = rest.where("term = ''").agg(F.sum("a")).first()[0] or 0
+        found = rest.join(likely.select("term", "b"), "term")
+
+    model = Model(terms)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = model.hits([t or "" for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0)), pa.array(batch.column(2).cast(pa.int64())), pa.array([model.featurize(h) for h in hits], pa.list_(pa.float64()))], ["label", "key", "x"])
+            hits = [[dict(zip(("term", "edits", "place", "quoted"), h, strict=True)) for h in of] for of in model.hits([t or "" for t in batch.column(1).to_pylist()])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int64()), pa.array(hits, HITS)], ["label", "key", "hits"])
 
-    rows = sample.mapInArrow(featurize, "label int, key long, x array<double>").orderBy("key", "label").collect()
-    x = np.array([[1.0, *r.x] for r in rows])
+    # a bounded sample's hits
+    rows = sample.mapInArrow(meet, f"label int, key long, {HITS_SQL}").orderBy("key", "label").collect()
     y = np.array([float(r.label > 0) for r in rows])
-    # a misspelled term is as rare among labelled rows as misspelling is: the prior speaks where they say nothing
+    # a term whose misspellings are more often other words than itself is held to its spelling
+    wrong: Counter = Counter()
+    for r in rows:
+        for h in r.hits:
+            if h.edits:
+                wrong[h.term] += -1 if r.label > 0 else 1
+    model = Model(terms, frozenset(t for t, n in wrong.items() if n > 0))
+    heard = [[tuple(h) for h in r.hits if not (h.edits and h.term in model.strict)] for r in rows]
+    x = np.array([[1.0, *model.featurize(h)] for h in heard])
+    model.weights = fit_weights(x, y)
+    return model
+
+
+def fit_weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of least penalized log loss around the prior, by Newton steps that are halved until they help."""
     w, decay = PRIOR.copy(), np.array([0.01, *[1.0] * (len(PRIOR) - 1)])
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + (decay * (w - PRIOR) ** 2).sum() / 2)
+
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
         gradient = x.T @ (p - y) + decay * (w - PRIOR)
-        w = w - np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(decay), gradient)
-    model.weights = w
-    return model
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(decay), gradient)
+        now, size = loss(w), 1.0
+        while size > 1e-6 and loss(w - size * step) > now - 1e-4 * size * float(gradient @ step):
+            size /= 2
+        w = w - size * step
+        if size <= 1e-6 or float(np.abs(size * step).max()) < 1e-6:
+            break
+    return w
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score double, hits array<struct<term, edits, place, quoted>>) of every whole text."""
-    kind = pa.list_(pa.struct([("term", pa.string()), ("edits", pa.int32()), ("place", pa.int64()), ("quoted", pa.bool_())]))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in slices(batches):
             hits = model.hits(texts)
             scores = model.score(np.array([model.featurize(h) for h in hits]))
             listed = [[dict(zip(("term", "edits", "place", "quoted"), h, strict=True)) for h in of] for of in hits]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(scores, pa.float64()), pa.array(listed, kind)], ["doc_id", "score", "hits"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(scores, pa.float64()), pa.array(listed, HITS)], ["doc_id", "score", "hits"])
 
     return columns(docs, doc_id=id_col, text=text_col).mapInArrow(
-        run, "doc_id long, score double, hits array<struct<term: string, edits: int, place: long, quoted: boolean>>"
+        run, f"doc_id long, score double, {HITS_SQL}"
     )
 
 
