@@ -157,16 +157,16 @@ def test_shards(spark, sample, odd_docs, no_docs):
 
 
 def plain_dedup(rows, least):
+    """Every pair of positions is compared: a line goes if some run around it matches an earlier place."""
+    lines = [(i, text.split("\n")) for i, text in sorted((r for r in rows if r[0] is not None and r[1] is not None), key=lambda r: r[0])]
     first, gone = {}, defaultdict(set)
-    for i, text in sorted((r for r in rows if r[0] is not None and r[1] is not None), key=lambda r: r[0]):
-        lines = text.split("\n")
-        for a in range(len(lines)):
-            n, b = 0, a
-            while b < len(lines) and n < least:
-                n += len(lines[b].split())
-                b += 1
-            if n >= least and first.setdefault(tuple(lines[a:b]), (i, a)) != (i, a):
-                gone[i] |= set(range(a, b))
+    for i, ls in lines:
+        for a in range(len(ls)):
+            n = 0
+            for b in range(a, len(ls)):
+                n += len(ls[b].split())
+                if n >= least and first.setdefault(hash(tuple(ls[a : b + 1])), (i, a)) != (i, a):
+                    gone[i] |= set(range(a, b + 1))
     return {i: t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in rows}
 
 
@@ -195,10 +195,14 @@ def test_windows_select_their_minimum():
         text = "\n".join(" ".join("w" * rng.randint(1, 3) for _ in range(rng.randint(0, 20))) for _ in range(30))
         lines = text.split("\n")
         hashes = [xxhash.xxh64_intdigest(x.encode()) for x in lines]
-        for a, b, _, at in linededup.windows(text, 25):
-            assert sum(len(x.split()) for x in lines[a:b]) >= 25 > sum(len(x.split()) for x in lines[a : b - 1])
+        found = linededup.windows(text, 25)
+        count = lambda a, b: sum(len(x.split()) for x in lines[a:b])
+        for a, b, _, at in found:
+            assert count(a, b) >= 25 and (count(a, b - 1) < 25 or count(a + 1, b) < 25)
             low = min(hashes[a:b])
             assert at == max(i for i in range(a, b) if hashes[i] == low)
+        onward = {a: b for a, b, _, _ in reversed(found)}
+        assert all(count(i, onward[i]) >= 25 > count(i, onward[i] - 1) for i in range(30) if count(i, 30) >= 25)
 
 
 # --- SimHash

@@ -1,15 +1,16 @@
 """Line dedup by winnowing over line hashes.
 
-A window starts at every line and spans the fewest lines that hold `min_words` words together. The
-smallest line hash of each window is selected (the rightmost of equals), so any run of lines of at
-least min_words words that occurs twice has a selected fingerprint in common, whatever surrounds it.
-Positions are joined on fingerprints that occur more than once; around each, the match is extended
-both ways over all windows that selected it, comparing whole window contents. A window that stood
-earlier in the corpus (by doc_id, then line) is a repeat; lines of repeated windows are deleted, so
-a run of any length goes as a whole, and its first occurrence stays.
-
-The result is exact: a line is deleted if and only if it lies in a window whose lines, in that
-order, occur at an earlier position.
+For every line there are two windows: the fewest lines from it onwards, and the fewest up to it, that
+hold `min_words` words together. The smallest line hash of each window is selected (the rightmost of
+equals), so any run of lines of at least min_words words that occurs twice has selected fingerprints
+in common, whatever surrounds it. Positions are joined on fingerprints that occur more than once;
+around each, the match is extended both ways over all windows that selected it, comparing whole
+window contents. A window that stood earlier in the corpus (by doc_id, then line) is a repeat; its
+lines are deleted. A run's windows cover it from end to end, so it goes as a whole, and its first
+occurrence stays.
+
+The result is exact: a line is deleted if and only if it lies in a run of lines with at least
+min_words words that occurs, in that order, at an earlier position.
 
 Defined results: a null text has no lines to delete and stays null; runs below min_words words stay;
 rows that repeat both doc_id and text stand at one place, so none is later than the other, while rows
@@ -42,22 +43,19 @@ def windows(text: str, min_words: int) -> list[tuple[int, int, bytes, int]]:
     total = np.append(0, np.cumsum(counts))
     if total[-1] < min_words:
         return []
-    stops = np.searchsorted(total, total[:-1] + min_words, "left")
-    n = int(np.searchsorted(stops, len(lines), "right"))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(line.encode()) for line in lines), np.uint64, len(lines))
-    raw, out, best = hashes.tobytes(), [], -1
-    for i, stop in enumerate(stops[:n].tolist()):
-        if stop == i + 1:
-            best = i
-        else:
-            if best < i:
-                best = i + int(np.flatnonzero((part := hashes[i:stop]) == part.min())[-1])
-            else:  # the last minimum is still inside: only new lines can undercut it
-                for j in range(last, stop):
-                    if hashes[j] <= hashes[best]:
-                        best = j
+    onward = np.searchsorted(total, total[:-1] + min_words, "left")
+    upto = np.searchsorted(total, total[1:] - min_words, "right") - 1
+    n, m = int(np.searchsorted(onward, len(lines), "right")), int(np.searchsorted(total[1:], min_words, "left"))
+    spans = set(zip(range(n), onward[:n].tolist())) | set(zip(upto[m:].tolist(), range(m + 1, len(lines) + 1)))
+    hashes = [xxhash.xxh64_intdigest(line.encode()) for line in lines]
+    raw, out, best, last = np.array(hashes, np.uint64).tobytes(), [], -1, 0
+    # both ends of the windows only ever move on, so the last minimum is kept while it is inside
+    for first, stop in sorted(spans):
+        for j in range(max(first, last) if best >= first else first, stop):
+            if best < first or hashes[j] <= hashes[best]:
+                best = j
         last = stop
-        out.append((i, stop, xxhash.xxh3_128_digest(raw[8 * i : 8 * stop]), best))
+        out.append((first, stop, xxhash.xxh3_128_digest(raw[8 * first : 8 * stop]), best))
     return out
 
 
@@ -118,9 +116,8 @@ WITH parts AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM docum
 lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM parts),
 counted AS (SELECT doc_id, i, line, len(regexp_extract_all(line, '[^\\s]+')) AS w FROM lines),
 summed AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM counted),
-stops AS (
-  SELECT a.doc_id, a.i AS first, min(b.i) AS last
-  FROM summed a JOIN summed b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.w >= {MIN_WORDS} GROUP BY 1, 2),
+enough AS (SELECT a.doc_id, a.i AS a, b.i AS b FROM summed a JOIN summed b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.w >= {MIN_WORDS}),
+stops AS (SELECT doc_id, a AS first, min(b) AS last FROM enough GROUP BY 1, 2 UNION SELECT doc_id, max(a), b FROM enough GROUP BY doc_id, b),
 wins AS (
   SELECT s.doc_id, s.first, s.last, list_aggregate(list_slice(p.ls, s.first + 1, s.last + 1), 'string_agg', chr(10)) AS content
   FROM stops s JOIN parts p USING (doc_id)),
