@@ -41,7 +41,7 @@ ADDED_CHARS = 8
 
 _TOKEN = re.compile(r"""[^\s"'`=:,;()<>\[\]{}]+|["'`=:,;()<>\[\]{}]""")
 _PLAIN = re.compile(r"[^\W\d_]{1,24}[.!?]*\Z")
-_CODE = re.compile(r"(?i)\b(?:def|return|import|var|const|export|function|class|config|env)\b|[{};]|=>|::")
+_CODE = ("{", "}", ";", "=>", "::", "()")
 #: Looked for in lower-cased text: much cheaper than letting the pattern ignore case.
 _NAMES = re.compile(r"passw|pwd|secret|token|api_?-?key|auth|bearer|credential|private|access_?key|client_?id")
 _HEADS = ("AKIA", "sk-", "sk_", "pk_", "ghp_", "gho_", "xox", "AIza", "eyJ", "glpat", "SG.")
@@ -124,7 +124,8 @@ _B64 = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789
 
 
 def file_features(text: str) -> np.ndarray:
-    return np.array([len(_CODE.findall(text[:4096])) >= 3 if len(text) < 4096 else False, bool(_NAMES.search(text.lower()))], float)
+    """Whether the whole text looks like code (a mark in every 40 characters), and whether it names a credential."""
+    return np.array([text != "" and 40 * sum(map(text.count, _CODE)) >= len(text), bool(_NAMES.search(text.lower()))], float)
 
 
 @dataclass
