@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawler.llm import bpe, linededup, mixing, simhash, toxicity
+from trawler.llm import bpe, linededup, mixing, nearcopies, toxicity
 from trawler.llm.queries import held_out
 from trawler.session import Scratch, ship_package
 
@@ -31,10 +31,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each SimHash component; of repeated rows of it, one."""
+    """The document with the smallest doc_id of each component of near copies; of repeated rows of it, one."""
     ship_package(spark)
     scratch = Scratch(spark, "pipeline-simhash")
-    groups = scratch.keep(simhash.near_duplicates(docs, scratch=scratch).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")))
+    marked = scratch.keep(nearcopies.near_copies(docs, scratch).where("doc_id is not null"))
+    first = marked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    groups = scratch.keep(marked.join(first, "component").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")))
     away = groups.where("doc_id <> component_id or n > 1").select("doc_id")
     again = groups.where("doc_id = component_id and n > 1").select("doc_id")
     return docs.join(away, "doc_id", "left_anti").unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
@@ -70,7 +72,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: Learned scores, SimHash components and rounding by random numbers are beyond SQL; tests hold run() against plain Python.
+#: Learned scores, near copies and rounding by random numbers are beyond SQL; tests hold run() against plain Python.
 ORACLE_SQL = None
 
 

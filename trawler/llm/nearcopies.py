@@ -1,0 +1,145 @@
+"""Near copies: texts whose sets of five-word shingles have a Jaccard likeness of 0.8 and more.
+
+Min-hash bands propose, exact sets decide. Two sets of likeness 0.8 agree on a band of five min-hashes with
+probability 0.33, so they miss all 40 bands with probability 1e-7, and likelier ones more rarely. Texts that
+share a band are compared by their whole sets inside its bucket, where only pairs not yet connected count;
+buckets with the same members are compared once. A bucket returns spanning links, never all pairs.
+
+Defined results: words are split and lowered as for SimHash; a text of fewer words is one shingle; null and
+blank texts are like each other; a null doc_id takes part but cannot name a component; an empty table gives
+an empty table.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from math import ceil
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from trawler.llm.components import components
+from trawler.llm.simhash import Links
+from trawler.session import Scratch
+
+WORDS = 5
+LIKENESS = (4, 5)
+BANDS, ROWS = 40, 5
+
+_rng = np.random.default_rng(42)
+_FLIP = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+_TIMES = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACE = _rng.integers(0, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ROW = _rng.integers(0, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND = _rng.integers(0, 2**63, BANDS, dtype=np.uint64)
+#: Words whose hashes are held at once inside a Python worker.
+MEMO = 1 << 18
+
+
+def shingles(text: str, memo: dict[bytes, int] | None = None) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a text's five-word shingles."""
+    memo = {} if memo is None else memo
+    words = text.encode().lower().split()
+    if len(words) < WORDS:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words))], np.uint64)
+    if len(memo) > MEMO:
+        memo.clear()
+    for w in set(words).difference(memo):
+        memo[w] = xxhash.xxh64_intdigest(w)
+    a = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    n = len(a) - WORDS + 1
+    out = a[:n] * _PLACE[0]
+    for k in range(1, WORDS):
+        out += a[k : k + n] * _PLACE[k]
+    return np.unique(out)
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """One key for each band: of the least values of five reshuffled orders of the hashes."""
+    low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), 512):
+        low = np.minimum(low, ((hashes[at : at + 512, None] ^ _FLIP) * _TIMES).min(0))
+    low ^= low >> np.uint64(29)
+    return ((low.reshape(BANDS, ROWS) * _ROW).sum(1, dtype=np.uint64) ^ _BAND).view(np.int64)
+
+
+def connect(sets: list[np.ndarray], links: Links) -> None:
+    """Join all sets of a likeness of 0.8 and more; each is compared with those after it that are not yet in its component."""
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    size = np.array([len(s) for s in sets])
+    start = np.concatenate(([0], np.cumsum(size)[:-1]))
+    mark = np.zeros(len(values), bool)
+    over, under = LIKENESS
+    for i in range(len(sets) - 1):
+        root = links.root(np.arange(len(sets)))
+        able = (root != root[i]) & (np.arange(len(sets)) > i) & (size * under >= size[i] * over) & (size[i] * under >= size * over)
+        if not able.any():
+            continue
+        own = flat[start[i] : start[i] + size[i]]
+        mark[own] = True
+        if able.sum() * 4 > len(sets):
+            same = np.add.reduceat(mark[flat], start, dtype=np.int64)
+        else:
+            same = np.zeros(len(sets), np.int64)
+            for j in np.flatnonzero(able):
+                same[j] = mark[flat[start[j] : start[j] + size[j]]].sum()
+        mark[own] = False
+        like = np.flatnonzero(able & (same * under >= (size + size[i] - same) * over))
+        links.join(like, np.full(len(like), i))
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spanning links of each bucket, from rows sorted by key."""
+    now, names, sets = None, [], []
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if len(names) > 1:
+            links, every = Links(len(names)), np.arange(len(names))
+            connect(sets, links)
+            root, node = links.root(every), np.array(names, np.int64)
+            child = np.flatnonzero(root != every)
+            if len(child):
+                yield pa.RecordBatch.from_arrays([pa.array(node[child]), pa.array(node[root[child]])], ["u", "v"])
+
+    for batch in batches:
+        for key, name, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if key != now:
+                yield from close()
+                now, names, sets = key, [], []
+            names.append(name)
+            sets.append(np.frombuffer(held.as_py(), np.uint64))
+    yield from close()
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    memo: dict[bytes, int] = {}
+    for batch in batches:
+        keys = [bands(shingles(t.as_py() or "", memo)).tolist() for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "twin", "bands"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    memo: dict[bytes, int] = {}
+    for batch in batches:
+        held = [shingles(t.as_py() or "", memo).tobytes() for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], ["twin", "held"])
+
+
+def near_copies(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(doc_id, twin, component) of every row: twin is the text's hash, component the smallest twin reachable over likenesses of 0.8 and more."""
+    scratch = scratch or Scratch(docs.sparkSession, "nearcopies")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("twin"), "text")
+    marked = scratch.keep(texts.mapInArrow(_banded, "doc_id long, twin long, bands array<long>"))
+    keyed = marked.select("twin", "bands").dropDuplicates(["twin"]).select("twin", F.explode("bands").alias("key"))
+    keyed = scratch.keep(keyed)
+    same = [F.bit_xor(F.xxhash64("twin", F.lit(i))).alias(f"same{i}") for i in (0, 1)]
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), *same).where("n > 1").dropDuplicates(["n", "same0", "same1"]).select("key")
+    members = scratch.keep(keyed.join(buckets, "key"))
+    sets = scratch.keep(texts.select("twin", "text").join(members.select("twin").distinct(), "twin", "left_semi").dropDuplicates(["twin"]).mapInArrow(_sets, "twin long, held binary"))
+    tasks = max(8, ceil(members.count() / 20_000))
+    dealt = members.join(sets, "twin").select("key", "twin", "held").repartition(tasks, "key").sortWithinPartitions("key", "twin")
+    found = components(dealt.mapInArrow(_links, "u long, v long"), scratch)
+    return marked.select("doc_id", "twin").join(found, F.col("twin") == found.node, "left").select("doc_id", "twin", F.coalesce("component", "twin").alias("component"))
