@@ -20,6 +20,8 @@ PARAMS = {
     "bagging_fraction": 1.0, "num_rounds": 500, "early_stopping": 50,
 }
 ENSEMBLE = PARAMS | {"learning_rate": 0.03, "max_depth": 5, "min_data_in_leaf": 10, "feature_fraction": 0.9, "bagging_fraction": 0.6, "num_rounds": 400, "early_stopping": 0}
+#: The reference's untuned setting in cross-validation, where no rows are kept for early stopping.
+BASELINE = PARAMS | {"num_rounds": 150, "early_stopping": 0}
 SEEDS = (42, 43, 44, 45, 46, 47)
 SEARCH_SPACE = {
     "learning_rate": [0.02, 0.03, 0.05, 0.08, 0.1],
@@ -54,6 +56,8 @@ class Model:
 
     def rows(self) -> pd.DataFrame:
         """One row for each node."""
+        if not self.trees:
+            return pd.DataFrame(columns=["tree_id", "node_id", "feature", "threshold", "left", "right", "value", "gain"])
         return pd.concat([pd.DataFrame({"tree_id": i, "node_id": np.arange(len(t["value"])), **t}) for i, t in enumerate(self.trees)], ignore_index=True)
 
 
@@ -114,8 +118,10 @@ def train(x: np.ndarray, rel: np.ndarray, qid: np.ndarray, features: list[str],
             if now > best + 1e-12:
                 best, best_at = now, len(model.trees)
             elif len(model.trees) - best_at >= p["early_stopping"]:
-                model.trees = model.trees[:best_at]
                 break
+    if valid is not None and p["early_stopping"]:
+        model.trees = model.trees[:best_at]
+        model.gains = sum((np.bincount(t["feature"][t["left"] >= 0], t["gain"][t["left"] >= 0], width) for t in model.trees), np.zeros(width))
     return model
 
 
@@ -142,7 +148,7 @@ def _tree(binned, edges, g, h, rows, used, p, gains) -> dict[str, np.ndarray] |
         return float(gain[j, b]), int(j), float(edges[j][b]), at[left], at[~left]
 
     value = lambda at: p["learning_rate"] * g[at].sum() / (h[at].sum() + l2)
-    nodes = [[-1, 0.0, -1, -1, value(rows)]]
+    nodes = [[-1, 0.0, -1, -1, value(rows), 0.0]]
     open_ = {0: (split(rows, 0), 0)}
     leaves = 1
     while leaves < p["num_leaves"]:
@@ -153,14 +159,15 @@ def _tree(binned, edges, g, h, rows, used, p, gains) -> dict[str, np.ndarray] |
         (gain, j, threshold, left, right), depth = open_.pop(i)
         gains[j] += gain
         nodes[i][:4] = j, threshold, len(nodes), len(nodes) + 1
+        nodes[i][5] = gain
         for part in (left, right):
             open_[len(nodes)] = (split(part, depth + 1), depth + 1)
-            nodes.append([-1, 0.0, -1, -1, value(part)])
+            nodes.append([-1, 0.0, -1, -1, value(part), 0.0])
         leaves += 1
     if leaves == 1:
         return None
     cols = list(zip(*nodes, strict=True))
-    return {k: np.array(c, t) for k, c, t in zip(("feature", "threshold", "left", "right", "value"), cols, (np.int64, float, np.int64, np.int64, float), strict=True)}
+    return {k: np.array(c, t) for k, c, t in zip(("feature", "threshold", "left", "right", "value", "gain"), cols, (np.int64, float, np.int64, np.int64, float, float), strict=True)}
 
 
 def feature_columns(table: DataFrame) -> list[str]:
@@ -173,26 +180,29 @@ def _arrays(pdf: pd.DataFrame, features: list[str]):
     return pdf, pdf[features].to_numpy(np.float64), pdf["relevance"].to_numpy(np.float64), pdf["qid"].to_numpy()
 
 
-NODE_SCHEMA = "seed int, tree_id int, node_id int, feature int, threshold double, left int, right int, value double"
+NODE_SCHEMA = "seed int, tree_id int, node_id int, feature int, threshold double, left int, right int, value double, gain double"
 
 
-def train_models(table: DataFrame, seeds: tuple[int, ...] = SEEDS, params: dict | None = None) -> DataFrame:
-    """The node tables of one model for each seed, all rows used; seeds train in parallel."""
+def train_models(table: DataFrame, seeds: tuple[int, ...] = SEEDS, params: dict | None = None, validation: set | None = None) -> DataFrame:
+    """The node tables of one model for each seed; seeds train in parallel. All rows are used, or, where
+    validation names queries, those of the others, while the named ones stop the rounds early."""
     features, params = feature_columns(table), ENSEMBLE | (params or {})
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         seed = int(pdf["seed"].iloc[0])
-        _, x, rel, qid = _arrays(pdf, features)
-        return train(x, rel, qid, features, params, seed).rows().assign(seed=seed)[[c.split()[0] for c in NODE_SCHEMA.split(", ")]]
+        held = pdf["qid"].isin(validation or ())
+        _, x, rel, qid = _arrays(pdf[~held], features)
+        valid = _arrays(pdf[held], features)[1:] if held.any() else None
+        return train(x, rel, qid, features, params, seed, valid).rows().assign(seed=seed)[[c.split()[0] for c in NODE_SCHEMA.split(", ")]]
 
     copies = table.withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
     return copies.groupBy("seed").applyInPandas(one, NODE_SCHEMA)
 
 
 def importance(nodes: DataFrame, features: list[str]) -> DataFrame:
-    """(feature, splits): how often each feature splits a node, over all models."""
+    """(feature, splits, gain): how often each feature splits a node, and what its splits gain, over all models."""
     names = F.array(*map(F.lit, features))
-    return nodes.where("left >= 0").groupBy(F.get(names, F.col("feature")).alias("feature")).agg(F.count("*").alias("splits"))
+    return nodes.where("left >= 0").groupBy(F.get(names, F.col("feature")).alias("feature")).agg(F.count("*").alias("splits"), F.sum("gain").alias("gain"))
 
 
 def predict(table: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from trawler.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-#: Settings of the registered training queries: few rounds, so that a round trip stays short.
+#: Settings of robust_compare: few rounds, so that a round trip stays short.
 SHORT = {"num_rounds": 30, "early_stopping": 0}
 
 GRID = [(0.9, 0.4), (1.2, 0.75), (2.0, 0.75)]
@@ -492,32 +492,37 @@ def cv_folds(v: Views) -> DataFrame:
     return _folds(v)
 
 
+def _stopped(v: Views) -> DataFrame:
+    """One model that the validation queries stop early."""
+    return ltr.train_models(v.training, (42,), ltr.PARAMS, {q for q, held in evaluate.validation_split(_qids(v)).items() if held})
+
+
 @query
 def ltr_train(v: Views) -> DataFrame:
-    return ltr.train_models(v.training, (42,), ltr.PARAMS | SHORT)
+    return _stopped(v)
 
 
 @query
 def ltr_importance(v: Views) -> DataFrame:
-    return ltr.importance(ltr.train_models(v.training, (42,), ltr.PARAMS | SHORT), ltr.feature_columns(v.training))
+    return ltr.importance(_stopped(v), ltr.feature_columns(v.training)).orderBy(F.desc("gain"), "feature")
 
 
 @query
 def ltr_ensemble(v: Views) -> DataFrame:
-    nodes = ltr.train_models(v.training, ltr.SEEDS, SHORT)
+    nodes = ltr.train_models(v.training, ltr.SEEDS)
     return nodes.groupBy("seed").agg(F.countDistinct("tree_id").alias("trees"), F.count("*").alias("nodes"))
 
 
 @query
 def ltr_predict(v: Views) -> DataFrame:
-    nodes = ltr.train_models(v.training, ltr.SEEDS, SHORT)
+    nodes = ltr.train_models(v.training, ltr.SEEDS)
     ranked = ltr.predict(v.training.where("is_pool = 1"), nodes)
     return topk.rerank(ranked, 100).select("qid", "doc_id", r6("prediction"), "rank")
 
 
 @query
 def cv_ndcg(v: Views) -> DataFrame:
-    return ltr.cross_validate(v.training, _folds(v), {"short": SHORT}).select("config", "fold", "qid", r6("ndcg"))
+    return ltr.cross_validate(v.training, _folds(v), {"baseline": ltr.BASELINE}).select("config", "fold", "qid", r6("ndcg"))
 
 
 @query
