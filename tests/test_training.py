@@ -1,5 +1,6 @@
 """Registered training queries use the operators' settings; early stopping and gains reach the node table."""
 
+import json
 from types import SimpleNamespace
 
 import numpy as np
@@ -45,3 +46,24 @@ def test_validation_stops_early_and_gains_are_in_the_nodes(spark):
     assert len(model.trees) == pdf.tree_id.nunique()
     got = {r.feature: r.gain for r in ltr.importance(nodes, ["f_bm25", "f_noise"]).collect()}
     assert [got.get(f, 0.0) for f in ("f_bm25", "f_noise")] == pytest.approx(model.gains.tolist())
+
+
+def test_search_and_comparison_train_what_their_rows_say(spark, monkeypatch):
+    calls, table = [], spark.createDataFrame(judged(), SCHEMA)
+    v = SimpleNamespace(spark=spark, training=table, qrels=table.select("qid", "doc_id", F.col("relevance").alias("rel")))
+    monkeypatch.setattr(registry.Views, "of", lambda *a: v)
+
+    def held(t, fold_of, settings, seeds=(42,), k=100):
+        calls.append((fold_of.agg(F.max("fold")).first()[0] + 1, settings, seeds))
+        return spark.createDataFrame([(c, 0, 0, i / 100) for i, c in enumerate(settings)], "config string, fold int, qid long, ndcg double")
+
+    monkeypatch.setattr(registry.ltr, "cross_validate", held)
+    kinds = [r.kind for r in registry.QUERIES["tune_grid"](spark, "").collect()]
+    folds, settings, _ = calls[0]
+    assert folds == 5 and len(settings) == 51 and settings.pop("baseline") == ltr.BASELINE
+    assert all(json.loads(c)["num_rounds"] == s["num_rounds"] for c, s in settings.items())
+    assert kinds.count("baseline") == 1 and kinds.count("single") == 5 and kinds.count("ensemble") == len(calls[1][1]) and calls[1][2] == (0, 1, 2, 3, 4)
+    calls.clear()
+    rows = {r.config: r for r in registry.QUERIES["robust_compare"](spark, "").collect()}
+    assert set(rows) == {"baseline", "single", "ensemble"} and all(r.splits == 8 for r in rows.values()) and {c[0] for c in calls} == {5}
+    assert sorted({(n, p["num_rounds"], len(s)) for _, c, s in calls for n, p in c.items()}) == [("baseline", 150, 1), ("ensemble", 400, 6), ("single", 400, 1)]
