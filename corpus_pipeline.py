@@ -31,15 +31,24 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component of near copies; of repeated rows of it, one."""
+    """The row with the smallest doc_id of each component of near copies; of rows equal in doc_id and text, one.
+
+    Rows are told apart by doc_id and text hash; a row without a doc_id stays only where its component has none with one.
+    """
     ship_package(spark)
     scratch = Scratch(spark, "pipeline-simhash")
-    marked = scratch.keep(nearcopies.near_copies(docs, scratch).where("doc_id is not null"))
-    first = marked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    groups = scratch.keep(marked.join(first, "component").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")))
-    away = groups.where("doc_id <> component_id or n > 1").select("doc_id")
-    again = groups.where("doc_id = component_id and n > 1").select("doc_id")
-    return docs.join(away, "doc_id", "left_anti").unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    marked = scratch.keep(nearcopies.near_copies(docs, scratch).groupBy("doc_id", "twin", "component").agg(F.count("*").alias("n")))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "twin")
+    first = marked.groupBy("component").agg(F.min(order).alias("first"))
+    groups = scratch.keep(marked.join(first, "component").select("doc_id", "twin", "n", (order == F.col("first")).alias("stays")))
+    rows = docs.withColumn("_twin", F.xxhash64("text"))
+
+    def chosen(part: DataFrame, how: str) -> DataFrame:
+        return rows.join(part, rows["doc_id"].eqNullSafe(part["doc_id"]) & (rows["_twin"] == part["twin"]), how)
+
+    away = groups.where("not stays or n > 1").select("doc_id", "twin")
+    again = groups.where("stays and n > 1").select("doc_id", "twin")
+    return chosen(away, "left_anti").unionByName(chosen(again, "left_semi").dropDuplicates(["doc_id", "_twin"])).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,3 +57,11 @@ def test_stage_on_driver_table(spark):
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()}
     assert kept == plain_kept(rows)
+
+
+def test_rows_that_share_a_doc_id_are_told_apart(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(80)) for k in "abc")
+    rows = [(1, a), (1, b), (1, b), (2, a), (None, b), (None, c), (None, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (1, b), (None, c)], key=str)
