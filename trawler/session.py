@@ -20,6 +20,9 @@ DEFAULTS = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+#: Bytes of one Arrow batch on its way to a Python worker.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
 
 def open_session(master: str | None = None, **conf: str) -> SparkSession:
     """A session with this package's defaults; keyword names use __ for dots."""
@@ -32,7 +35,13 @@ def open_session(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def ship_package(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors once per application, so Python workers can import it."""
+    """Send this package to the executors once per application, so Python workers can import it.
+
+    Batches for Python workers are bounded by bytes too, unless the session has a bound of its own: ten
+    thousand rows of long texts are more than a worker should hold at once.
+    """
+    if spark.conf.get(BATCH_BYTES[0], None) is None:
+        spark.conf.set(*BATCH_BYTES)
     sc = spark.sparkContext
     if getattr(sc, "_trawler_shipped", False):
         return spark
