@@ -1,12 +1,15 @@
-"""Byte-level BPE encoding and decoding by replaying the merges over a whole slice of the corpus.
+"""Byte-level BPE encoding and decoding by replaying the merges over a stretch of the corpus at a time.
 
-The distinct words of a slice are laid out as one array of byte tokens. An inverted index maps the
-rank of every mergeable neighbour pair to its positions in words; ranks are applied in ascending
-order over the slice at once, and a merge recomputes only the two pairs that touch it.
+The distinct words that a stretch adds to those a worker already knows are laid out as one array of
+byte tokens. An inverted index maps the rank of every mergeable neighbour pair to its positions in
+words; ranks are applied in ascending order over all words at once, and a merge recomputes only the
+two pairs that touch it. A bounded memo keeps the ids of words met before, so a worker replays a word
+once, not once for every stretch. Memory is bounded by the stretch, the memo and the longest text;
+long texts are worked on part by part, cut at spaces where no token can span.
 
 Defined results: null and empty texts give no tokens (ids_sha256 and decoded_sha256 are then of the
 empty string); repeated rows give equal results; extra columns are ignored; an empty table gives an
-empty table; very long words cost time in proportion to their merges.
+empty table; very long words cost time and memory in proportion to their length.
 """
 
 from __future__ import annotations
@@ -14,7 +17,6 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -23,11 +25,17 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from trawler.llm.common import columns, safe_pieces, slices
+from trawler.llm.common import columns, safe_parts, safe_pieces, slices
 
 _NONE = np.int32(2**31 - 1)
 _SHIFT = 24
 
+#: Characters of the texts and parts that are encoded together, and pieces that a worker remembers.
+STRETCH, MEMO_PIECES = 1 << 21, 1 << 17
+
+#: Ids of a text that are spelled out and decoded at once.
+DIGEST_IDS = 1 << 16
+
 
 class MergeTable:
     """The ranks of a .tiktoken file, with every pair of tokens that joins into a third."""
@@ -69,8 +77,8 @@ def replay(words: list[bytes], table: MergeTable) -> tuple[np.ndarray, np.ndarra
     n = len(token)
     if not n:
         return token, np.zeros(len(words), np.int64)
-    word = np.repeat(np.arange(len(words)), sizes)
-    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
     ends = np.cumsum(sizes[sizes > 0])
     after[ends - 1] = -1
     before[ends[:-1]] = -1
@@ -94,7 +102,7 @@ def replay(words: list[bytes], table: MergeTable) -> tuple[np.ndarray, np.ndarra
                 index[r] = [at[a:b]]
                 heappush(heap, r)
 
-    first = np.flatnonzero(after >= 0)
+    first = np.flatnonzero(after >= 0).astype(np.int32)
     pair[first] = table.rank(token[first], token[after[first]])
     post(first)
     while heap:
@@ -154,35 +162,87 @@ def _in_order(at, r, token, after, before, word, table) -> tuple[np.ndarray, np.
     return at[~held], at[held]
 
 
+class Encoder:
+    """Encodes texts by one table; the ids of the pieces met so far lie one after another in one array."""
+
+    def __init__(self, table: MergeTable):
+        self.table = table
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[object, int] = {}
+        self.ids, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _use(self, part: str, opens: bool, new: list) -> np.ndarray:
+        """The numbers of a part's pieces; pieces not met before are appended to new. The piece that opens
+        a text has no space before it, so it is another key than the same letters later on."""
+        number = self.number
+        keys: list = safe_pieces(part)
+        if opens:
+            keys[0] = (keys[0],)
+        for key in keys:
+            if key not in number:
+                number[key] = len(number)
+                new.append(key)
+        return np.fromiter(map(number.__getitem__, keys), np.int32, len(keys))
+
+    def _learn(self, new: list) -> None:
+        """Replay the merges over all words of the new pieces."""
+        words: list[bytes] = []
+        held = []
+        for key in new:
+            piece = key[0] if type(key) is tuple else f" {key}"
+            if piece.isalpha() or type(key) is str and key.isalpha():
+                words.append(piece.encode())
+                held.append(1)
+            else:
+                found = [w.encode() for w in self.table.pattern.findall(piece)]
+                words += found
+                held.append(len(found))
+        ids, sizes = replay(words, self.table)
+        ends = np.append(0, np.cumsum(sizes))[np.cumsum(held)]
+        self.bounds = np.append(self.bounds, len(self.ids) + ends)
+        self.ids = np.append(self.ids, ids)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The token ids of every text."""
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        new, waiting, size = [], [], 0
+
+        def settle() -> None:
+            if new:
+                self._learn(new)
+            for i, of in waiting:
+                begin = self.bounds[of]
+                count = self.bounds[of + 1] - begin
+                stop = np.cumsum(count)
+                out[i].append(self.ids[np.repeat(begin - (stop - count), count) + np.arange(stop[-1])])
+            new.clear()
+            waiting.clear()
+            if len(self.number) > MEMO_PIECES:
+                self.forget()
+
+        for i, text in enumerate(texts):
+            for j, part in enumerate(safe_parts(text, STRETCH)):
+                waiting.append((i, self._use(part, j == 0, new)))
+                size += len(part)
+                if size >= STRETCH:
+                    settle()
+                    size = 0
+        if waiting:
+            settle()
+        return [np.concatenate(of) if len(of) != 1 else of[0] for of in out]
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str, pattern: str) -> Encoder:
+    """One encoder per worker process and file."""
+    return Encoder(merge_table(path, pattern))
+
+
 def encode(texts: list[str], table: MergeTable) -> list[list[int]]:
-    """The token ids of every text."""
-    seen: defaultdict[object, int] = defaultdict()
-    seen.default_factory = seen.__len__
-    used = []
-    for text in texts:
-        parts = safe_pieces(text)
-        # a first piece has no space before it, so it is another key than the same letters later on
-        used.append(np.array([seen[(parts[0],)], *map(seen.__getitem__, parts[1:])], np.int64))
-    words: list[bytes] = []
-    held = []
-    for key in seen:
-        piece = key[0] if type(key) is tuple else f" {key}"
-        if piece.isalpha() or type(key) is str and key.isalpha():
-            words.append(piece.encode())
-            held.append(1)
-        else:
-            found = [w.encode() for w in table.pattern.findall(piece)]
-            words += found
-            held.append(len(found))
-    ids, sizes = replay(words, table)
-    bounds = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(held))]
-    begin, count = bounds[:-1], np.diff(bounds)
-    out = []
-    for of in used:
-        size = count[of]
-        stop = np.cumsum(size)
-        out.append(ids[np.repeat(begin[of] - (stop - size), size) + np.arange(stop[-1])].tolist())
-    return out
+    """The token ids of every text, by an encoder that knows no word yet."""
+    return [ids.tolist() for ids in Encoder(table).encode(texts)]
 
 
 def decode(ids: list[int], table: MergeTable) -> bytes:
@@ -194,9 +254,12 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     """(doc_id, ids array<int>) of every whole text, as the rank file's library would give them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = merge_table(path, pattern)
-        for keys, texts in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(encode(texts, table), pa.list_(pa.int32()))], ["doc_id", "ids"])
+        coder = encoder(path, pattern)
+        for keys, texts in slices(batches, STRETCH):
+            coded = coder.encode(texts)
+            offsets = pa.array(np.append(0, np.cumsum([len(ids) for ids in coded])), pa.int32())
+            held = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(coded), pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), held], ["doc_id", "ids"])
 
     return columns(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -217,17 +280,22 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode, decode the ids, and digest both in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = merge_table(path, pattern)
+        coder = encoder(path, pattern)
+        table = coder.table
         digits = {i: str(i) for i in table.token}
-        for keys, texts in slices(batches):
-            coded = encode(texts, table)
+        for keys, texts in slices(batches, STRETCH):
+            counts, listed, decoded = [], [], []
+            for ids in coder.encode(texts):
+                spelled, data = hashlib.sha256(), hashlib.sha256()
+                for at in range(0, len(ids), DIGEST_IDS):
+                    some = ids[at : at + DIGEST_IDS].tolist()
+                    spelled.update((("," if at else "") + ",".join(map(digits.__getitem__, some))).encode())
+                    data.update(decode(some, table))
+                counts.append(len(ids))
+                listed.append(spelled.hexdigest())
+                decoded.append(data.hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys, pa.int64()),
-                    pa.array(map(len, coded), pa.int64()),
-                    pa.array([hashlib.sha256(",".join(map(digits.__getitem__, ids)).encode()).hexdigest() for ids in coded]),
-                    pa.array([hashlib.sha256(decode(ids, table)).hexdigest() for ids in coded]),
-                ],
+                [pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
