@@ -1,10 +1,13 @@
 """SimHash near-duplicates through BK-trees.
 
 Whole texts become 64-bit fingerprints of their word shingles. Distinct fingerprints are dealt into
-shards so that any two within the radius meet in one (they must agree on some of the bit blocks);
-each shard builds a BK-tree, whose children are keyed by their integer Hamming distance to the
-parent, and all members descend it together along the edges within the radius. A shard returns
-spanning links of what it connected, never all pairs, and stars join the links to components.
+shards of some thousands so that any two within the radius meet in one (they must agree on some of
+the bit blocks). Each shard builds a BK-tree, whose children are keyed by their integer Hamming
+distance to the parent, and its members descend it together, along the edges within the radius only.
+A shard of more than TREE members is cut into trees of TREE: a tree is then searched by its own
+members and by those of all later trees of the shard, so no task grows with a hot shard's square and
+no pair is lost. A shard returns spanning links of what it connected, never all pairs, and stars join
+the links to components.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; equal
 texts share a fingerprint and so a component; repeated rows do too; extra columns are ignored; an
@@ -27,8 +30,8 @@ from trawler.llm.common import columns, slices
 from trawler.llm.components import components
 from trawler.session import Scratch
 
-#: Members of a BK-tree node below which it holds them as a plain list.
-LEAF = 64
+#: Members of one BK-tree, and members of a node that it holds as a plain list.
+TREE, LEAF = 4096, 8
 
 
 def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
@@ -60,17 +63,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return columns(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, fp long")
 
 
-def shard_keys(radius: int, distinct: int) -> list[list[tuple[int, int]]]:
-    """For each kind of shard the blocks (shift, width) on which its members agree.
+def shard_keys(radius: int, distinct: int, tree: int = TREE) -> list[list[tuple[int, int]]]:
+    """For each kind of shard the bits (shift, width) on which its members agree.
 
-    With b blocks, two fingerprints within the radius agree on b - radius of them at least. b grows
-    with the number of fingerprints, so that shards stay small at every size; no choice of b loses a pair.
-    """
-    want = log2(max(distinct, 2)) - 6
-    blocks = next((b for b in range(radius + 1, radius + 5) if 64 / b * (b - radius) >= want), radius + 4)
+    With b blocks, two fingerprints within the radius agree on b - radius of them at least. Of these
+    blocks only as many bits make the key as give shards of about tree members; more blocks are used
+    where so many fingerprints need longer keys. No choice loses a pair."""
+    want = max(0, ceil(log2(max(distinct, 1) / tree))) if distinct > tree else 0
+    blocks = next((b for b in range(radius + 1, 65) if 64 // b * (b - radius) >= want), radius + 4)
     edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
-    parts = [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
-    return [list(c) for c in combinations(parts, blocks - radius)]
+    out = []
+    for chosen in combinations(range(blocks), blocks - radius):
+        share = [want // len(chosen) + (i < want % len(chosen)) for i in range(len(chosen))]
+        out.append([(edges[c], min(w, edges[c + 1] - edges[c])) for c, w in zip(chosen, share, strict=True) if w])
+    return out
 
 
 class Links:
@@ -95,51 +101,56 @@ class Links:
             np.minimum.at(self.up, np.maximum(x, y), np.minimum(x, y))
 
 
-def connect(fps: np.ndarray, radius: int, links: Links) -> None:
-    """Join all members within the radius, descending the BK-tree that is built on the way.
+def connect(fps: np.ndarray, radius: int, links: Links, own: int | None = None) -> int:
+    """Join all pairs within the radius of which one at least is among the first own fingerprints (all by
+    default): those make the BK-tree, and all descend it while it is built. Returns its depth.
 
-    A node's first member is its pivot; the others hang below it by their distance. A child with
-    distance d is visited by the members whose distance to the pivot lies within d - radius and
-    d + radius; members of lower children only, since the higher ones look for it from their side.
-    """
-    todo = [(np.arange(len(fps)), np.arange(len(fps)))]
+    A node's first member is its pivot; the others hang below it by their distance. A child at distance d
+    is searched by those whose distance to the pivot is within d - radius and d + radius: of the guests of
+    the node by all such, of its own members by those of higher children, since the lower ones search them."""
+    own = len(fps) if own is None else own
+    todo = [(np.arange(own), np.arange(own, len(fps)), 1)]
+    deepest = 0
     while todo:
-        members, queries = todo.pop()
+        members, guests, depth = todo.pop()
+        deepest = max(deepest, depth)
         if len(members) <= LEAF:
-            for at in range(0, len(queries), 4096):
-                q = queries[at : at + 4096]
-                a, b = np.nonzero(np.bitwise_count(fps[q][:, None] ^ fps[members][None, :]) <= radius)
-                links.join(q[a], members[b])
+            a, b = np.nonzero(np.triu(np.bitwise_count(fps[members][:, None] ^ fps[members][None, :]) <= radius, 1))
+            links.join(members[a], members[b])
+            for at in range(0, len(guests), 1 << 16):
+                g = guests[at : at + (1 << 16)]
+                a, b = np.nonzero(np.bitwise_count(fps[members][:, None] ^ fps[g][None, :]) <= radius)
+                links.join(members[a], g[b])
             continue
-        pivot = members[0]
-        near = np.bitwise_count(fps[queries] ^ fps[pivot]).astype(np.int64)
-        close = queries[near <= radius]
-        links.join(close, np.full(len(close), pivot))
-        rest = members[1:]
-        edge = np.bitwise_count(fps[rest] ^ fps[pivot]).astype(np.int64)
+        pivot, rest = members[0], members[1:]
+        edge, far = (np.bitwise_count(fps[of] ^ fps[pivot]).astype(np.int64) for of in (rest, guests))
+        by_edge, by_far = np.argsort(edge, kind="stable"), np.argsort(far, kind="stable")
+        rest, edge, guests, far = rest[by_edge], edge[by_edge], guests[by_far], far[by_far]
+        for of, distance in ((rest, edge), (guests, far)):
+            close = of[: np.searchsorted(distance, radius, "right")]
+            links.join(close, np.full(len(close), pivot))
         for d in np.unique(edge).tolist():
-            child = rest[edge == d]
-            if d == 0:
-                links.join(child, np.full(len(child), pivot))
-                continue
-            seek = queries[np.abs(near - d) <= radius]
-            if len(seek):
-                todo.append((child, seek))
+            begin, end, upto = np.searchsorted(edge, [d, d + 1, d + radius + 1])
+            low, high = np.searchsorted(far, [d - radius, d + radius + 1])
+            # copies of the pivot are joined to it already, and so are those that would find them
+            if d and (end - begin > 1 or upto > end or high > low):
+                todo.append((rest[begin:end], np.concatenate((rest[end:upto], guests[low:high])), depth + 1))
+    return deepest
 
 
 def _spanning(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Spanning links of each shard, from rows sorted by (kind, key)."""
+    """Spanning links of each tree's members and guests, from rows sorted by tree, members first."""
     held: list[pa.RecordBatch] = []
 
     def links_of(table: pa.Table) -> pa.RecordBatch | None:
-        kind, key = table["kind"].to_numpy(), table["key"].to_numpy()
-        fps, rep = table["fp"].to_numpy().view(np.uint64), table["rep"].to_numpy()
-        new = np.flatnonzero((kind[1:] != kind[:-1]) | (key[1:] != key[:-1])) + 1
+        place = [table[c].to_numpy() for c in ("kind", "key", "chunk")]
+        fps, rep, guest = table["fp"].to_numpy().view(np.uint64), table["rep"].to_numpy(), table["guest"].to_numpy()
+        new = np.flatnonzero(np.any([p[1:] != p[:-1] for p in place], axis=0)) + 1
         us, vs = [], []
-        for a, b in zip([0, *new.tolist()], [*new.tolist(), len(key)], strict=True):
+        for a, b in zip([0, *new.tolist()], [*new.tolist(), len(rep)], strict=True):
             if b - a > 1:
                 links = Links(b - a)
-                connect(fps[a:b], radius, links)
+                connect(fps[a:b], radius, links, b - a - int(guest[a:b].sum()))
                 root = links.root(np.arange(b - a))
                 child = np.flatnonzero(root != np.arange(b - a))
                 us.append(rep[a:b][child])
@@ -152,13 +163,12 @@ def _spanning(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Rec
         if not batch.num_rows:
             continue
         held.append(batch)
-        kind, key = batch.column(0), batch.column(1)
-        first = (held[0].column(0)[0], held[0].column(1)[0])
-        if first == (kind[-1], key[-1]):
-            continue  # one shard so far
+        last = tuple(batch.column(c)[-1].as_py() for c in range(3))
+        if tuple(held[0].column(c)[0].as_py() for c in range(3)) == last:
+            continue  # one tree so far
         table = pa.Table.from_batches(held)
-        last = (table["kind"].to_numpy() == kind[-1].as_py()) & (table["key"].to_numpy() == key[-1].as_py())
-        begin = len(last) - int(last.sum())
+        same = np.all([table.column(c).to_numpy() == last[c] for c in range(3)], axis=0)
+        begin = len(same) - int(same.sum())
         if out := links_of(table.slice(0, begin)):
             yield out
         held = table.slice(begin).to_batches()
@@ -166,6 +176,15 @@ def _spanning(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Rec
         yield out
 
 
+def in_trees(dealt: DataFrame, place: list[str], member: str, tree: int = TREE) -> DataFrame:
+    """dealt with chunk and guest: each row as a member of one tree of its shard, and as a guest of all trees before it."""
+    hot = dealt.groupBy(*place).agg(F.count("*").alias("_n")).where(F.col("_n") > tree)
+    hot = hot.select(*place, F.ceil(F.col("_n") / tree).cast("int").alias("_trees"))
+    own = F.coalesce(F.pmod(F.xxhash64(member, F.lit("tree")), "_trees"), F.lit(0)).cast("int")
+    rows = dealt.join(hot, place, "left").withColumn("_own", own)
+    return rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("_own")))).withColumn("guest", F.col("chunk") < F.col("_own")).drop("_own", "_trees")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, scratch: Scratch | None = None
 ) -> DataFrame:
@@ -189,8 +208,10 @@ def near_duplicates(
         )
     )
     dealt = distinct.select(F.explode(shards).alias("s"), "fp", "rep").select("s.kind", "s.key", "fp", "rep")
-    tasks = max(8, ceil(n * len(kinds) / 100_000))
-    links = dealt.repartition(tasks, "kind", "key").sortWithinPartitions("kind", "key", "rep").mapInArrow(lambda b: _spanning(b, radius), "u long, v long")
+    dealt = in_trees(dealt, ["kind", "key"], "fp").select("kind", "key", "chunk", "guest", "fp", "rep")
+    tasks = max(8, ceil(n * len(kinds) / 50_000))
+    links = dealt.repartition(tasks, "kind", "key", "chunk").sortWithinPartitions("kind", "key", "chunk", "guest", "rep")
+    links = links.mapInArrow(lambda b: _spanning(b, radius), "u long, v long")
     found = components(links, scratch)
     named = distinct.join(found, distinct.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return marked.join(named, "fp", "left").select("doc_id", "fp", "component_id")
