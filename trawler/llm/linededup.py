@@ -3,11 +3,12 @@
 For every line there are two windows: the fewest lines from it onwards, and the fewest up to it, that
 hold `min_words` words together. The smallest line hash of each window is selected (the rightmost of
 equals), so any run of lines of at least min_words words that occurs twice has selected fingerprints
-in common, whatever surrounds it. Positions are joined on fingerprints that occur more than once;
-around each, the match is extended both ways over all windows that selected it, comparing whole
-window contents. A window that stood earlier in the corpus (by doc_id, then line) is a repeat; its
-lines are deleted. A run's windows cover it from end to end, so it goes as a whole, and its first
-occurrence stays.
+in common, whatever surrounds it. Positions are joined on fingerprints that more than one position
+selected; around a position, every window that selected it is a seed, and equal seeds are joined with
+the earliest place (by doc_id, then line) at which their lines stand. Seeds are extended both ways by
+chaining those that match the same earlier text at the same distance: as a window starts and one ends
+at every line of a repeated run, the chain is the maximal run that the two texts have in common. The
+lines of all runs with an earlier place are deleted; the first occurrence stays.
 
 The result is exact: a line is deleted if and only if it lies in a run of lines with at least
 min_words words that occurs, in that order, at an earlier position.
@@ -15,8 +16,8 @@ min_words words that occurs, in that order, at an earlier position.
 Defined results: a null text has no lines to delete and stays null; runs below min_words words stay;
 rows that repeat both doc_id and text stand at one place, so none is later than the other, while rows
 that share a doc_id only are told apart by their texts; a row without doc_id is neither changed nor
-an earlier place; extra columns are ignored by `repeats` and kept by `drop_repeats`; an empty table
-gives an empty table.
+an earlier place; extra columns are ignored by `repeats` and kept by `drop_repeats`, but for `_lines`
+and `_removed`, which it sets; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from trawler.llm.common import columns, slices
+from trawler.llm.common import columns, free, slices
 from trawler.session import Scratch
 
 #: Least words of a run that is deleted when it repeats.
@@ -59,55 +61,86 @@ def windows(text: str, min_words: int) -> list[tuple[int, int, bytes, int]]:
     return out
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, twin, spans array<struct<first, stop>>): the windows of lines to delete, for documents that
-    have any; twin is the xxhash64 of the text."""
-    scratch = scratch or Scratch(docs.sparkSession, "lines")
-    span = pa.struct([("first", pa.int32()), ("stop", pa.int32()), ("content", pa.binary())])
+SEEDS = "doc_id long, twin long, fingerprint long, opens int, first int, stop int, high long, low long"
+
+
+def seeds(docs: DataFrame, min_words: int) -> DataFrame:
+    """Every window as a row: its text's doc_id and hash, the fingerprint it selected, whether it is the first
+    that selected that position, its lines [first, stop) and the 128-bit hash of their contents."""
+    names = [c.split()[0] for c in SEEDS.split(", ")]
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in slices(batches):
-            ids, twins, prints, spans = [], [], [], []
+            rows, numbers, sizes, contents = [], [], [], []
             for key, text in zip(keys, texts, strict=True):
-                chosen: dict[int, list] = {}
-                for first, stop, content, at in windows(text, min_words):
-                    chosen.setdefault(at, []).append({"first": first, "stop": stop, "content": content})
-                if chosen:
-                    lines = text.split("\n")
-                    twin = xxhash.xxh64_intdigest(text.encode(), 42)
-                    for at, held in chosen.items():
-                        ids.append(key)
-                        twins.append(twin - (twin >> 63 << 64))
-                        prints.append(xxhash.xxh64_intdigest(lines[at].encode()) - 2**63)
-                        spans.append(held)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(twins, pa.int64()), pa.array(prints, pa.int64()), pa.array(spans, pa.list_(span))], ["doc_id", "twin", "fingerprint", "spans"])
-
-    selected = columns(docs, doc_id=id_col, text=text_col).where("doc_id is not null").mapInArrow(
-        select, "doc_id long, twin long, fingerprint long, spans array<struct<first: int, stop: int, content: binary>>"
-    )
-    selected = scratch.keep(selected)
-    shared = selected.groupBy("fingerprint").agg(F.count("*").alias("n"), F.max(F.size("spans")).alias("most")).where("n > 1 or most > 1").select("fingerprint")
-    spans = selected.join(shared, "fingerprint", "left_semi").select("doc_id", "twin", F.explode("spans").alias("s")).select("doc_id", "twin", "s.first", "s.stop", "s.content")
-    spans = scratch.keep(spans)
-    lead = spans.groupBy("content").agg(F.min(F.struct("doc_id", "twin", "first")).alias("lead"), F.count("*").alias("n")).where("n > 1").select("content", "lead")
+                found = windows(text, min_words)
+                if not found:
+                    continue
+                lines = text.split("\n")
+                twin = xxhash.xxh64_intdigest(text.encode(), 42)
+                numbers.append((key, twin - (twin >> 63 << 64)))
+                sizes.append(len(found))
+                prints: dict[int, int] = {}
+                for first, stop, content, at in found:
+                    opens = at not in prints
+                    if opens:
+                        prints[at] = xxhash.xxh64_intdigest(lines[at].encode()) - 2**63
+                    rows.append((prints[at], opens, first, stop))
+                    contents.append(content)
+            if not rows:
+                continue
+            held = np.array(rows, np.int64)
+            ids = np.repeat(np.array(numbers, np.int64), sizes, axis=0)
+            content = np.frombuffer(b"".join(contents), np.int64).reshape(-1, 2)
+            data = [ids[:, 0], ids[:, 1], held[:, 0], *(held[:, i].astype(np.int32) for i in (1, 2, 3)), content[:, 0], content[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in data], names)
+
+    return docs.where("doc_id is not null").mapInArrow(select, SEEDS)
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, scratch: Scratch | None = None) -> DataFrame:
+    """(doc_id, twin, first, stop, of_doc_id, of_twin, of_first): the maximal runs of lines [first, stop) that stood
+    at an earlier place, and where; twin is the xxhash64 of a text."""
+    scratch = scratch or Scratch(docs.sparkSession, "lines")
+    found = scratch.keep(seeds(columns(docs, doc_id=id_col, text=text_col), min_words))
+    # both tables of a join are written ones, so a fingerprint or passage that is everywhere can be split
+    shared = scratch.keep(found.groupBy("fingerprint").agg(F.sum("opens").alias("n")).where("n > 1").select("fingerprint"))
+    near = scratch.keep(found.join(shared, "fingerprint", "left_semi").select("doc_id", "twin", "first", "stop", "high", "low"))
     place = F.struct("doc_id", "twin", "first")
-    later = spans.join(lead, "content").where(place != F.col("lead"))
-    return later.groupBy("doc_id", "twin").agg(F.sort_array(F.collect_set(F.struct("first", "stop"))).alias("spans"))
+    lead = scratch.keep(near.groupBy("high", "low").agg(F.min(place).alias("lead"), F.count("*").alias("n")).where("n > 1").select("high", "low", "lead"))
+    later = near.join(lead, ["high", "low"]).where(place != F.col("lead"))
+    later = later.select("doc_id", "twin", "first", "stop", F.col("lead.doc_id").alias("of_doc_id"), F.col("lead.twin").alias("of_twin"), F.col("lead.first").alias("of_first"))
+    # all further steps keep the rows of a text together, which is bounded by the text's lines
+    chain = ["doc_id", "twin", "of_doc_id", "of_twin", "distance"]
+    later = later.repartition("doc_id", "twin").withColumn("distance", F.col("first") - F.col("of_first"))
+    return _chained(later, chain).select("doc_id", "twin", "first", "stop", "of_doc_id", "of_twin", (F.col("first") - F.col("distance")).alias("of_first"))
+
+
+def _chained(spans: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, first, stop): overlapping and touching spans of lines as one."""
+    before = Window.partitionBy(*by).orderBy("first", "stop")
+    reach = F.max("stop").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    opens = (reach.isNull() | (F.col("first") > reach)).cast("int")
+    number = F.sum("_opens").over(before.rowsBetween(Window.unboundedPreceding, 0))
+    marked = spans.withColumn("_opens", opens).withColumn("_number", number)
+    return marked.groupBy(*by, "_number").agg(F.min("first").alias("first"), F.max("stop").alias("stop")).drop("_number")
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, scratch: Scratch | None = None) -> DataFrame:
     """docs with the repeated lines gone from its text, and _lines, _removed: how many there were and went."""
-    found = repeats(docs, id_col, text_col, min_words, scratch).select(F.col("doc_id").alias("_of"), F.col("twin").alias("_twin"), F.col("spans").alias("_spans"))
-    lines = F.split(F.col(text_col), "\n", -1)
-    joined = docs.join(found, (docs[id_col] == found["_of"]) & (F.xxhash64(docs[text_col]) == found["_twin"]), "left").withColumn("_all", lines)
-    # spans are sorted and windows of one text never nest, so a line is covered if any window holds it
-    covered = F.flatten(F.transform("_spans", lambda s: F.sequence(s["first"], s["stop"] - 1)))
-    joined = joined.withColumn("_gone", F.when(F.col("_spans").isNotNull(), F.array_distinct(covered)))
-    kept = F.filter("_all", lambda line, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    counted = joined.withColumn("_lines", F.coalesce(F.size("_all"), F.lit(0)).cast("long")).withColumn("_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    counted = counted.withColumn("_lines", F.greatest("_lines", F.lit(0))).withColumn("_removed", F.greatest("_removed", F.lit(0)))
-    return counted.withColumn(text_col, text).drop("_of", "_twin", "_spans", "_all", "_gone")
+    runs = _chained(repeats(docs, id_col, text_col, min_words, scratch), ["doc_id", "twin"])
+    runs = runs.groupBy("doc_id", "twin").agg(F.array_sort(F.collect_list(F.struct("first", "stop"))).alias("runs"))
+    docs = docs.drop("_lines", "_removed")
+    of, twin, gone, every = free(docs, "_of", "_twin", "_runs", "_every")
+    runs = runs.select(F.col("doc_id").alias(of), F.col("twin").alias(twin), F.col("runs").alias(gone))
+    joined = docs.join(runs, (F.col(id_col) == F.col(of)) & (F.xxhash64(text_col) == F.col(twin)), "left").withColumn(every, F.split(text_col, "\n", -1))
+    # what stays lies before the first run, between two and after the last
+    edges = F.transform(F.sequence(F.lit(0), F.size(gone)), lambda i: F.struct(F.coalesce(F.get(gone, i - 1)["stop"], F.lit(0)).alias("a"), F.coalesce(F.get(gone, i)["first"], F.size(every)).alias("b")))
+    kept = F.flatten(F.transform(edges, lambda e: F.slice(every, e["a"] + 1, e["b"] - e["a"])))
+    count = F.aggregate(gone, F.lit(0), lambda n, r: n + r["stop"] - r["first"])
+    out = joined.withColumn("_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(every)).cast("long")).withColumn("_removed", F.coalesce(count, F.lit(0)).cast("long"))
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    return out.withColumn(text_col, text).drop(of, twin, gone, every)
 
 
 #: The same result in DuckDB: every window of lines by its whole text, and the first place it stands at.
@@ -127,5 +160,7 @@ gone AS (SELECT DISTINCT l.doc_id, l.i FROM lines l JOIN later r ON l.doc_id = r
 kept AS (
   SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed, string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL) AS rest
   FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY 1)
-SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, sha256(coalesce(rest, '')) AS text_sha256 FROM kept
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(rest, '')) END AS text_sha256
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """

@@ -75,7 +75,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trawler.llm.linededup import drop_repeats
 
-    out = drop_repeats(_table(spark, sf_dir, "documents").where("text is not null"))
+    out = drop_repeats(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
 
 
