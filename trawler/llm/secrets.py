@@ -1,11 +1,13 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field that adds spans.
 
 The field tags every token of a text as outside a secret, its beginning or its inside, from the
-token's shape, the two tokens on either side and features of the whole text, and is decoded by
-Viterbi over whole texts: transfer matrices of equal chunks of the token stream are multiplied in
-max-plus algebra, so the sequential part is short whatever the length of a text. It is trained on
-generated lines in which the place of the secret is known, and on a bounded sample of the corpus
-(`sample_rows`) tagged by the fixed patterns.
+token's shape, the shapes and words of the two tokens on either side and features of the whole text,
+and is decoded by Viterbi over whole texts: transfer matrices of equal chunks of the token stream are
+multiplied in max-plus algebra, so the sequential part is short whatever the length of a text. It is
+trained on generated lines in which the place of the secret is known, and on a bounded sample of the
+corpus (`sample_rows` texts, of any length) tagged by the fixed patterns: ids are chosen first, by a
+combinable minimum, and windows around the matches are cut where the chosen texts lie, so that only
+the features of at most `sample_rows` * 5 short windows reach the driver.
 
 Defined results: null and empty texts hold no secrets; repeated rows give equal results; extra
 columns are ignored; an empty table gives an empty table, tagged by a field trained on the generated
@@ -17,6 +19,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,7 +30,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawler.llm.common import columns, slices
-from trawler.session import Scratch
 
 # The base patterns, the least length of what they must hold, and their order.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -49,7 +51,15 @@ _FEATURES = (
     "punct quote assign plain plain_long upper_word name keyish number long_number mixed_short mixed_mid mixed_long hex_mid hex_long "
     "base64 entropy_3 entropy_4 digits_third upper_lower_digit head mail url dotted symbols repeated"
 ).split()
+#: Words that are features of their own: those that stand before secrets, and before what only looks like one.
+_WORDS = (
+    "account api auth authorization aws basic bearer client cookie credential credentials key keys login passwd password private pwd secret session "
+    "signature token user username access "
+    "build checksum commit date digest hash id isbn md5 number order page phone ref sha sha1 sha256 serial tel uuid version"
+).split()
+_FEATURES += [f"word_{w}" for w in _WORDS]
 _AT = {name: i for i, name in enumerate(_FEATURES)}
+_WORD_AT = {w: _AT[f"word_{w}"] for w in _WORDS}
 _SPOTS = (-2, -1, 0, 1, 2)
 _FILE = 2  # features of the whole text: looks like code; names a credential
 O, B, I = 0, 1, 2  # noqa: E741
@@ -78,7 +88,8 @@ def shape(token: str) -> list[int]:
             on.append("upper_word")
         if _NAMES.search(token.lower()):
             on.append("name")
-        return [_AT[x] for x in on]
+        word = _WORD_AT.get(token.rstrip(".!?").lower())
+        return [_AT[x] for x in on] if word is None else [*(_AT[x] for x in on), word]
     on = []
     n = len(token)
     if n == 1 and not token.isalnum():
@@ -202,31 +213,26 @@ class Field:
         return tags.reshape(-1)[:n]
 
 
-def _dense(tokens: list[str], file: np.ndarray) -> np.ndarray:
-    k = len(_FEATURES)
-    x = np.zeros((len(tokens), len(_SPOTS) * k + _FILE + 1), np.float32)
-    on = [shape(t) for t in tokens]
-    for i in range(len(tokens)):
-        for j, spot in enumerate(_SPOTS):
-            if 0 <= i + spot < len(tokens):
-                for f in on[i + spot]:
-                    x[i, j * k + f] = 1
-    x[:, -1 - _FILE : -1], x[:, -1] = file, 1
-    return x
-
-
-def train(sequences: list[tuple[list[str], list[int], np.ndarray]], rounds: int = 120, longest: int = 48, decay: float = 0.02) -> Field:
-    """Weights of greatest penalized likelihood for (tokens, tags, file features), by full-batch gradient steps."""
+def train(sequences: list[tuple[list, list[int], np.ndarray]], rounds: int = 120, decay: float = 0.02) -> Field:
+    """Weights of greatest penalized likelihood for (tokens or their shapes, tags, file features), by full-batch
+    gradient steps. Few distinct shapes make up all tokens, so scores and gradients go by shape."""
     sequences = [s for s in sequences if s[0]]
-    m, t_max = len(sequences), min(longest, max(len(s[0]) for s in sequences))
-    width = len(_SPOTS) * len(_FEATURES) + _FILE + 1
-    x, y, size = np.zeros((m, t_max, width), np.float32), np.zeros((m, t_max), np.int64), np.zeros(m, np.int64)
+    m, t_max = len(sequences), max(len(s[0]) for s in sequences)
+    k, edge = len(_FEATURES), max(_SPOTS)
+    number: dict[tuple, int] = {(): 0}  # what lies outside a sequence has no features
+    at, y, size = np.zeros((m, t_max + 2 * edge), np.int64), np.zeros((m, t_max), np.int64), np.zeros(m, np.int64)
+    files = np.ones((m, _FILE + 1))
     for i, (tokens, tags, file) in enumerate(sequences):
-        n = min(len(tokens), t_max)
-        x[i, :n], y[i, :n], size[i] = _dense(tokens, file)[:n], tags[:n], n
+        n = len(tokens)
+        at[i, edge : edge + n] = [number.setdefault(tuple(shape(t) if isinstance(t, str) else t), len(number)) for t in tokens]
+        y[i, :n], size[i], files[i, :_FILE] = tags, n, file
+    on = np.zeros((len(number), k))
+    for key, i in number.items():
+        on[i, list(key)] = 1
+    seen = [np.ascontiguousarray(at[:, edge + spot : edge + spot + t_max]) for spot in _SPOTS]
     real = np.arange(t_max)[None] < size[:, None]
     bar = -1e4  # an inside never starts a text nor follows an outside
-    w, moves, start = np.zeros((width, 3)), np.zeros((3, 3)), np.zeros(3)
+    w, moves, start = np.zeros((len(_SPOTS) * k + _FILE + 1, 3)), np.zeros((3, 3)), np.zeros(3)
     fixed_moves, fixed_start = np.zeros((3, 3), bool), np.array([False, False, True])
     fixed_moves[O, I] = True
     gold = np.eye(3)[y] * real[..., None]
@@ -234,7 +240,9 @@ def train(sequences: list[tuple[list[str], list[int], np.ndarray]], rounds: int
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, moves, start)]
     for r in range(1, rounds + 1):
         moves[fixed_moves], start[fixed_start] = bar, bar
-        e = x @ w
+        e = np.repeat((files @ w[-1 - _FILE :])[:, None], t_max, 1)
+        for j, ids in enumerate(seen):
+            e += (on @ w[j * k : (j + 1) * k])[ids]
         a, b = np.empty((m, t_max, 3)), np.zeros((m, t_max, 3))
         a[:, 0] = start + e[:, 0]
         lse = lambda z, axis: (top := z.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(z - top).sum(axis))
@@ -248,10 +256,16 @@ def train(sequences: list[tuple[list[str], list[int], np.ndarray]], rounds: int
         for t in range(1, t_max):
             z = a[:, t - 1, :, None] + moves + (e[:, t] + b[:, t])[:, None] - total[:, None, None]
             pair += (np.exp(np.minimum(z, 0)) * real[:, t, None, None]).sum(0)
+        off = gold - soft
+        slope = np.empty_like(w)
+        for j, ids in enumerate(seen):
+            by_shape = np.stack([np.bincount(ids.ravel(), off[..., c].ravel(), len(number)) for c in range(3)], 1)
+            slope[j * k : (j + 1) * k] = on.T @ by_shape
+        slope[-1 - _FILE :] = files.T @ off.sum(1)
         grads = (
-            np.tensordot(x, gold - soft, ((0, 1), (0, 1))) - decay * m / 100 * w,
+            slope - decay * m / 100 * w,
             gold_moves - pair - decay * m / 100 * np.where(fixed_moves, 0, moves),
-            (gold - soft)[:, 0].sum(0) - decay * m / 100 * np.where(fixed_start, 0, start),
+            off[:, 0].sum(0) - decay * m / 100 * np.where(fixed_start, 0, start),
         )
         for p, g, (first, second) in zip((w, moves, start), grads, state, strict=True):
             first += 0.1 * (g - first)
@@ -305,47 +319,98 @@ def generated(count: int = 600, seed: int = 7) -> list[tuple[list[str], list[int
     return out
 
 
-def sampled(texts: list[str], reach: int = 20) -> list[tuple[list[str], list[int], np.ndarray]]:
-    """Windows of real texts around each base match, tagged by it, and one window elsewhere in each text."""
+def sampled(text: str, reach: int = 20) -> list[tuple[list[list[int]], list[int], np.ndarray]]:
+    """Windows of a real text around its first four base matches, tagged by them, and one elsewhere in it, as
+    (shapes, tags, file features)."""
+    found = list(_TOKEN.finditer(text))
+    held = [(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
+    held = _apart(held + [(a, b) for kind, a, b in base_spans(text) if kind != "assign"])
+    starts = np.array([m.start() for m in found] or [0])
+    tags = np.zeros(len(found), np.int64)
+    for a, b in held:
+        i = int(np.searchsorted(starts, a))
+        begins = True
+        while i < len(found) and found[i].end() <= b:
+            tags[i], begins = (B if begins else I), False
+            i += 1
+    file = file_features(text)
     out = []
-    for text in texts:
-        found = list(_TOKEN.finditer(text))
-        held = [(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
-        held += [(a, b) for kind, a, b in base_spans(text) if kind != "assign" and not any(a < d and c < b for c, d in held)]
-        tags = [O] * len(found)
-        for a, b in held:
-            inside = [i for i, m in enumerate(found) if a <= m.start() and m.end() <= b]
-            for j, i in enumerate(inside):
-                tags[i] = B if j == 0 else I
-        spots = [i for i, tag in enumerate(tags) if tag == B][:4] + [len(found) // 3]
-        file = file_features(text)
-        for i in spots:
-            a, b = max(0, i - reach), min(len(found), i + reach)
-            out.append(([m[0] for m in found[a:b]], tags[a:b], file))
+    for i in [*np.flatnonzero(tags == B)[:4].tolist(), len(found) // 3]:
+        a, b = max(0, i - reach), min(len(found), i + reach)
+        out.append(([shape(m[0]) for m in found[a:b]], tags[a:b].tolist(), file))
+    return out
+
+
+def _apart(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, without those that overlap an earlier one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if not out or a >= out[-1][1]:
+            out.append((a, b))
+    return out
+
+
+def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
     return out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 400, scratch: Scratch | None = None) -> Field:
-    """A field trained on generated lines and on at most sample_rows texts: half the first by hash of
-    doc_id, half the first that hold the name of a credential."""
-    rows = columns(docs, doc_id=id_col, text=text_col).where("text is not null and length(text) < 20000")
-    order = F.xxhash64("doc_id")
-    half = sample_rows // 2
-    plain = rows.orderBy(order, "doc_id").limit(half)
-    named = rows.where(F.col("text").rlike(r"(?i)(?:token|secret|passw|api_?key|AKIA)[\"']?\s*[:=]")).orderBy(order, "doc_id").limit(half)
-    texts = [r.text for r in sorted(plain.collect(), key=lambda r: (r.doc_id is None, r.doc_id))]
-    texts += [r.text for r in sorted(named.collect(), key=lambda r: (r.doc_id is None, r.doc_id))]
-    return train(generated() + sampled(texts))
+def _meets(united: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether [a, b) overlaps any of the united spans."""
+    i = bisect_left(united, (b,)) - 1
+    return i >= 0 and united[i][1] > a
+
+
+WINDOWS = "doc_id long, shapes array<array<int>>, tags array<int>, file array<double>"
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 400) -> Field:
+    """A field trained on generated lines and on windows of at most sample_rows texts, by hash of doc_id:
+    half from all rows, half from those that hold the name of a credential. Of rows that share a doc_id,
+    the smallest text stands for all."""
+    rows = columns(docs, doc_id=id_col, text=text_col).where("doc_id is not null and text is not null")
+    order, half = F.xxhash64("doc_id"), sample_rows // 2
+    place = F.struct(order.alias("order"), "doc_id")
+    named = F.col("text").rlike(r"(?i)(?:token|secret|passw|api_?key|AKIA)[\"']?\s*[:=]")
+    picks = rows.groupBy(F.pmod(order, F.lit(half))).agg(F.min(place)["doc_id"].alias("any"), F.min(F.when(named, place))["doc_id"].alias("named"))
+    chosen = sorted({i for r in picks.select("any", "named").collect() for i in r if i is not None})
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, texts in slices(batches):
+            out = [(key, *w) for key, text in zip(keys, texts, strict=True) for w in sampled(text)]
+            data = [[w[i] for w in out] for i in range(4)]
+            kinds = [pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int32()), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(d, k) for d, k in zip(data, kinds, strict=True)], ["doc_id", "shapes", "tags", "file"])
+
+    texts = rows.where(F.col("doc_id").isin(chosen)).groupBy("doc_id").agg(F.min("text").alias("text"))
+    real = texts.mapInArrow(cut, WINDOWS).collect() if chosen else []
+    # a text's windows come in their order, so a stable sort by text is the same in every run
+    return train(generated() + [(r.shapes, r.tags, np.array(r.file)) for r in sorted(real, key=lambda r: r.doc_id)])
+
+
+_BLANK = re.compile(r"\s")
+
+
+def _tokens(text: str, limit: int = 1 << 20) -> Iterator[list[str]]:
+    """The tokens of a text, by parts of about limit characters that end at a blank; no token holds one."""
+    at = 0
+    while len(text) - at > limit and (blank := _BLANK.search(text, at + limit)):
+        yield _TOKEN.findall(text, at, blank.start())
+        at = blank.end()
+    yield _TOKEN.findall(text, at)
 
 
 def find(texts: list[str], field: Field) -> list[list[tuple[str, int, int]]]:
     """(kind, start, end) of all secrets of every text: the base spans, and what the field adds beside them."""
     seen: defaultdict[str, int] = defaultdict()
     seen.default_factory = seen.__len__
-    used = []
-    for text in texts:
-        tokens = _TOKEN.findall(text)
-        used.append(np.fromiter(map(seen.__getitem__, tokens), np.int64, len(tokens)))
+    used = [np.concatenate([np.fromiter(map(seen.__getitem__, part), np.int32, len(part)) for part in _tokens(text)]) for text in texts]
     of, parts = field.parts(list(seen))
     scores = [field.emissions(parts, of[at], file_features(text)) for at, text in zip(used, texts, strict=True)]
     sizes = np.array([len(s) for s in scores])
@@ -358,14 +423,14 @@ def find(texts: list[str], field: Field) -> list[list[tuple[str, int, int]]]:
         spans = base_spans(text)
         mine = tags[bounds[i] : bounds[i + 1]]
         if mine.any():
-            at = [m.span() for m in _TOKEN.finditer(text)]
-            taken = list(spans)
+            at = {j: m.span() for j, m in enumerate(_TOKEN.finditer(text)) if mine[j]}
+            taken = _united([s[1:] for s in spans])
             for j in np.flatnonzero(mine == B).tolist():
                 k = j + 1
                 while k < len(mine) and mine[k] == I:
                     k += 1
                 a, b = at[j][0], at[k - 1][1]
-                if b - a >= ADDED_CHARS and not any(a < d and c < b for _, c, d in taken):
+                if b - a >= ADDED_CHARS and not _meets(taken, a, b):
                     spans.append(("crf", a, b))
             spans.sort(key=lambda s: (s[1], KINDS.index(s[0])))
         out.append(spans)
@@ -377,7 +442,7 @@ def scan(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in slices(batches, 4 << 20):
+        for keys, texts in slices(batches):
             found = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in of] for of in find(texts, field)]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, kind)], ["doc_id", "spans"])
 
