@@ -11,7 +11,8 @@ Everything is a DataFrame expression; no Python runs on the executors.
 
 Defined results: null texts are empty texts. A text without any anchor has its whole text, in lower
 case, as its one signature, so equal texts are always alike by 1 and others of that kind by 0.
-Repeated rows give equal fingerprints and are each other's neighbours; rows without doc_id come last; extra columns are ignored; an empty table gives an empty one.
+Repeated rows give equal fingerprints and are each other's neighbours; rows without doc_id come last, in the order of
+their texts; extra columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trawler.llm.common import columns
+from trawler.llm.components import components
 from trawler.session import Scratch
 
 # Common words of the corpus's languages.
@@ -77,47 +79,47 @@ def likeness(a: str, b: str) -> Column:
     return F.when(either == 0, 1.0).otherwise(both / either)
 
 
-def with_next(docs: DataFrame, scratch: Scratch, bucket_rows: int = 256) -> DataFrame:
-    """(doc_id, text, next_text): each row's successor by ascending doc_id, the last row's being the first.
-
-    Rows are dealt by ranges of ids into buckets of about bucket_rows; the successor is a neighbour
-    inside a bucket, and a bucket's last row is joined with the first row of the next bucket. Only
-    one short row for each bucket is ever ordered globally, and those in turn by buckets of buckets."""
-    facts = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high, count = facts[0] or 0, facts[1] or 0, facts[2]
-    width = max(1, math.ceil((high - low + 1) / max(1, math.ceil(count / bucket_rows))))
-    bucket = F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(low)) / F.lit(width)).cast("long")
-    placed = docs.withColumn("bucket", F.coalesce(bucket, F.lit(2**50)))  # rows without an id come last
-    order = Window.partitionBy("bucket").orderBy("doc_id", "text")
-    seen = placed.withColumn("next_text", F.lead("text").over(order)).withColumn("n", F.row_number().over(order)).withColumn("has_next", F.lead(F.lit(True)).over(order))
-    following = _following(docs.sparkSession, placed.select("bucket").distinct(), scratch)
-    firsts = seen.where("n = 1").select(F.col("bucket").alias("next_bucket"), F.col("text").alias("first_text"))
-    lasts = seen.where("has_next is null").select("doc_id", "text", "bucket").join(following, "bucket").join(firsts, "next_bucket")
-    return seen.where("has_next").select("doc_id", "text", "next_text").union(lasts.select("doc_id", "text", "first_text"))
-
-
-def _following(spark, buckets: DataFrame, scratch: Scratch, group: int = 4096) -> DataFrame:
-    """(bucket, next_bucket): the next larger one, cyclically."""
-    kept = scratch.keep(buckets)
-    parts = kept.withColumn("part", F.floor(F.col("bucket") / group).cast("long"))
-    inner = F.lead("bucket").over(Window.partitionBy("part").orderBy("bucket"))
-    edges = parts.groupBy("part").agg(F.min("bucket").alias("first"))
-    wrap = edges.agg(F.min("first")).first()[0]
-    outer = F.coalesce(F.lead("first").over(Window.orderBy("part")), F.lit(wrap))
-    return parts.withColumn("inner", inner).join(edges.withColumn("outer", outer), "part").select("bucket", F.coalesce("inner", "outer").cast("long").alias("next_bucket"))
-
-
-def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+def _bucket(bounds: list[int], id_col: str = "doc_id") -> Column:
+    """How many of the sorted bounds are at most the id, found by halving; rows without an id count all."""
+    if not bounds:
+        return F.lit(0)
+    full = 2 ** len(bounds).bit_length() - 1
+    held = F.array(*(F.lit(int(b)).cast("long") for b in bounds), *[F.lit(None).cast("long")] * (full - len(bounds)))
+    halves = F.array(*(F.lit(2**k) for k in range(len(bounds).bit_length() - 1, -1, -1)))
+    found = F.aggregate(halves, F.lit(0), lambda at, half: at + F.when(F.get(held, at + half - 1) <= F.col(id_col), half).otherwise(0))
+    return F.when(F.col(id_col).isNull(), len(bounds)).otherwise(found)
+
+
+def with_next(docs: DataFrame, bucket_rows: int = 256, most: int = 4096) -> DataFrame:
+    """(doc_id, text, sigs, next_text, next_sigs): every row and its successor by ascending doc_id, the last row's being the first.
+
+    Rows are dealt into buckets of about bucket_rows between quantiles of the ids, `most` of them at most, and sorted
+    there; a copy of the first row of the next bucket stands at the end of every bucket, so each row finds its successor
+    beside it. Texts move between machines once, and signatures are computed once for each row."""
+    count = docs.count()
+    wanted = min(most, count // bucket_rows)
+    cuts = [i / (wanted + 1) for i in range(1, wanted + 1)]
+    bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", cuts, 10 * most)).first()[0] or [])) if wanted else []
+    placed = docs.withColumn("bucket", _bucket(bounds))
+    # at most `most` + 1 pairs of numbers; the ids are null only where no row has one
+    firsts = sorted(placed.groupBy("bucket").agg(F.min("doc_id").alias("first")).collect())
+    steps = docs.sparkSession.createDataFrame([(first, firsts[i - 1].bucket) for i, (_, first) in enumerate(firsts)], "first long, of int")
+    ends = docs.join(F.broadcast(steps), F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("doc_id", "of").agg(F.min("text").alias("text"))
+    both = placed.select("doc_id", "text", "bucket", F.lit(False).alias("end")).union(ends.select("doc_id", "text", F.col("of").alias("bucket"), F.lit(True)))
+    place = Window.partitionBy("bucket").orderBy("end", F.col("doc_id").isNull(), "doc_id", "text")
+    seen = both.withColumn("next_text", F.lead("text").over(place))
+    seen = with_signatures(seen, "text", "sigs").withColumn("next_sigs", F.lead("sigs").over(place))
+    return seen.where("not end").select("doc_id", "text", "sigs", "next_text", "next_sigs")
+
+
+def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_chars, edited_sha256, sigs, edited_sigs, next_sigs): the signatures of every text, of
     its edited text (the second half replaced by the head of the next text), and of the next text."""
-    scratch = scratch or Scratch(docs.sparkSession, "spotsigs")
     clean = columns(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    paired = with_next(clean, scratch).withColumn("n_chars", F.length("text").cast("long"))
+    paired = with_next(clean).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half))
-    out = paired.withColumn("edited", edited)
-    for text, name in (("text", "sigs"), ("edited", "edited_sigs"), ("next_text", "next_sigs")):
-        out = with_signatures(out, text, name)
+    out = with_signatures(paired.withColumn("edited", edited), "edited", "edited_sigs")
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sigs", "edited_sigs", "next_sigs")
 
 
@@ -126,15 +128,19 @@ def length_partition(size: Column, threshold: float) -> Column:
     return F.floor(F.log(F.greatest(size, F.lit(1))) / F.lit(-math.log(threshold) + 1e-12)).cast("int")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """(doc_a, doc_b, likeness): pairs of classes of equal fingerprints, named by their smallest doc_id,
-    that are alike by the threshold at least. Copies are not expanded into pairs."""
+def near_pairs(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, likeness) of classes of equal fingerprints that are alike by the threshold at least, and the members
+    (doc_id, class) of every class. A class bears the smallest doc_id in it; copies are not expanded into pairs."""
     scratch = scratch or Scratch(docs.sparkSession, "spotsigs")
     clean = columns(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    marked = with_signatures(clean, "text", "sigs").groupBy("sigs").agg(F.min("doc_id").alias("rep")).where("rep is not null")
-    marked = scratch.keep(marked.withColumn("size", F.size("sigs")).withColumn("part", length_partition(F.size("sigs"), threshold)))
+    marked = scratch.keep(with_signatures(clean, "text", "sigs").select("doc_id", "sigs", F.xxhash64("sigs").alias("h1"), F.xxhash64("sigs", F.lit(1)).alias("h2")))
+    classes = scratch.keep(marked.groupBy("h1", "h2").agg(F.min("doc_id").alias("class")))
+    members = marked.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "class")
+    named = classes.where("class is not null").select("h1", "h2", F.col("class").alias("doc_id"))
+    sets = marked.join(named, ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "sigs", F.size("sigs").alias("size"))
+    sets = scratch.keep(sets.withColumn("part", length_partition(F.col("size"), threshold)))
     # a pair of sets within the threshold shares a signature among the first size - ceil(t * size) + 1 of each, in any fixed order: rarest first
-    rows = marked.select("rep", "size", "part", F.explode("sigs").alias("sig"))
+    rows = sets.select("rep", "size", "part", F.explode("sigs").alias("sig"))
     ranks = rows.groupBy("sig").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "sig"))
     prefix = rows.join(ranks, "sig").withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1)
@@ -142,6 +148,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     probe = prefix.select(F.col("rep").alias("rep_b"), F.col("size").alias("size_b"), F.explode(F.array(F.col("part") - 1, F.col("part"))).alias("part"), "sig")
     pairs = prefix.join(probe, ["part", "sig"]).where((F.col("size") < F.col("size_b")) | ((F.col("size") == F.col("size_b")) & (F.col("rep") < F.col("rep_b"))))
     pairs = pairs.where(F.col("size") >= F.col("size_b") * threshold - 1e-9).select("rep", "rep_b").distinct()
-    left, right = marked.select("rep", "sigs"), marked.select(F.col("rep").alias("rep_b"), F.col("sigs").alias("sigs_b"))
+    left, right = sets.select("rep", "sigs"), sets.select(F.col("rep").alias("rep_b"), F.col("sigs").alias("sigs_b"))
     full = pairs.join(left, "rep").join(right, "rep_b").withColumn("likeness", likeness("sigs", "sigs_b")).where(F.col("likeness") >= threshold - 1e-9)
-    return full.select(F.least("rep", "rep_b").alias("doc_a"), F.greatest("rep", "rep_b").alias("doc_b"), "likeness")
+    return full.select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b"), "likeness"), members
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """(doc_id, class_id, n_links), one row for each document: class_id is the smallest doc_id reachable over likenesses of
+    the threshold and more, n_links the number of different fingerprints its own is linked to. A row without doc_id
+    takes the class of its fingerprint; its class_id is null where no row with a doc_id shares that."""
+    scratch = scratch or Scratch(docs.sparkSession, "spotsigs")
+    pairs, members = near_pairs(docs, threshold, id_col, text_col, scratch)
+    pairs = scratch.keep(pairs)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
+    found = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch).withColumnRenamed("node", "class")
+    return members.join(ends.join(found, "class"), "class", "left").select("doc_id", F.coalesce("component", "class").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
