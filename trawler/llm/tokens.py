@@ -1,8 +1,9 @@
 """Token counts by batch encoding in Arrow functions that return lengths only.
 
-Long texts are cut at safe boundaries (a space before a non-blank, where no token can span), the
-distinct pieces of a slice are encoded in batches of equal bytes, and the lengths are added up per
-text. Pieces met again in the same worker are looked up in a bounded memo.
+Long texts are split at safe boundaries (a space before a non-blank, where no token can span), the
+distinct pieces of a slice are encoded in batches of equal UTF-8 bytes, and the lengths are added up
+per text. Pieces met again in the same worker are looked up in a bounded memo. A model for which such
+boundaries are not known to be safe (`cuttable`) gets its texts whole, in batches of equal bytes.
 
 Defined results: null and empty texts have no tokens and no bytes; repeated rows give equal
 results; extra columns are ignored; an empty table gives an empty table.
@@ -11,16 +12,26 @@ results; extra columns are ignored; an empty table gives an empty table.
 from __future__ import annotations
 
 import functools
+import json
 import os
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from trawler.llm.common import columns, safe_pieces, slices
+from trawler.llm.common import columns, safe_parts, safe_pieces, slices
 
-#: Bytes handed to the library in one batch, and pieces that a worker remembers.
-BATCH_BYTES, MEMO_PIECES = 1 << 18, 500_000
+#: UTF-8 bytes handed to the library in one batch, characters of a text that are split at once, and pieces that a worker remembers.
+BATCH_BYTES, PART_CHARS, MEMO_PIECES = 1 << 18, 1 << 20, 1 << 18
+
+
+def cuttable(spec: dict) -> bool:
+    """Whether a .json model never makes a token across a space before a non-blank: byte-level BPE by its usual
+    pattern, nothing normalized, and no added token that holds blanks or takes those around it."""
+    before = spec.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    greedy = any(t["content"].split() != [t["content"]] or t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec.get("added_tokens") or [])
+    return bool(plain and spec["model"]["type"] == "BPE" and not spec.get("normalizer") and not greedy)
 
 
 @functools.lru_cache(maxsize=2)
@@ -37,28 +48,41 @@ def _counter(path: str):
     model = Tokenizer.from_file(path)
     model.no_truncation()
     model.no_padding()
-    return (lambda parts: [len(x) for x in model.encode_batch_fast(parts, add_special_tokens=False)]), {}, True
+    return (lambda parts: [len(x) for x in model.encode_batch_fast(parts, add_special_tokens=False)]), {}, cuttable(json.loads(model.to_str()))
 
 
 def lengths(texts: list[str], path: str) -> list[int]:
-    """The number of tokens of every text. Only byte-level models without a normalizer are cut into pieces."""
-    measure, memo, cuttable = _counter(path)
-    if not cuttable:
+    """The number of tokens of every text."""
+    measure, memo, cut = _counter(path)
+    if not cut:
         return [n for part in _balanced(texts) for n in measure(part)]
-    cut = []
+    out = [0] * len(texts)
     new: dict[str, None] = {}
-    for text in texts:
-        first, *rest = safe_pieces(text)
-        parts = [first, *(" " + p for p in rest)]
-        cut.append(parts)
-        for p in parts:
-            if p not in memo:
-                new[p] = None
-    for part in _balanced(list(new)):
-        memo.update(zip(part, measure(part), strict=True))
-    out = [sum(map(memo.__getitem__, parts)) for parts in cut]
-    if len(memo) > MEMO_PIECES:
-        memo.clear()
+    waiting: list[tuple[int, list[str]]] = []
+    size = 0
+
+    def settle() -> None:
+        for part in _balanced(list(new)):
+            memo.update(zip(part, measure(part), strict=True))
+        for i, pieces in waiting:
+            out[i] += sum(map(memo.__getitem__, pieces))
+        new.clear()
+        waiting.clear()
+        if len(memo) > MEMO_PIECES:
+            memo.clear()
+
+    for i, text in enumerate(texts):
+        for j, part in enumerate(safe_parts(text, PART_CHARS)):
+            pieces = safe_pieces(part)
+            # all pieces but a text's first one stand behind a space
+            pieces = [p if j + k == 0 else " " + p for k, p in enumerate(pieces)]
+            new.update(dict.fromkeys(p for p in pieces if p not in memo))
+            waiting.append((i, pieces))
+            size += len(part)
+            if size >= PART_CHARS:
+                settle()
+                size = 0
+    settle()
     return out
 
 
@@ -66,7 +90,7 @@ def _balanced(parts: list[str]) -> Iterator[list[str]]:
     """Runs of parts of about BATCH_BYTES each."""
     at = size = 0
     for i, part in enumerate(parts):
-        size += len(part) + 8
+        size += len(part.encode()) + 8
         if size >= BATCH_BYTES:
             yield parts[at : i + 1]
             at, size = i + 1, 0
