@@ -60,15 +60,42 @@ def test_spotsigs_edges(spark, odd_docs, no_docs):
     assert all(len(s) == 1 for s in by_text.values())
 
 
-def test_next_crosses_buckets_and_gaps(spark):
+@pytest.mark.parametrize("most", [1, 3, 4096])
+def test_next_crosses_buckets_and_gaps(spark, most):
     rng = random.Random(5)
-    ids = [rng.randint(-(2**62), 2**62) for _ in range(200)]
+    ids = [rng.randint(-(2**62), 2**62) for _ in range(200)] + list(range(300)) + [2**63 - 1]
     docs = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
-    from trawler.session import Scratch
-
-    got = {r.doc_id: r.next_text for r in spotsigs.with_next(docs, Scratch(spark, "t"), bucket_rows=3).collect()}
+    got = {r.doc_id: (r.next_text, r.next_sigs) for r in spotsigs.with_next(docs, bucket_rows=3, most=most).collect()}
     order = sorted(ids)
-    assert got == {a: f"t{b}" for a, b in zip(order, order[1:] + order[:1], strict=True)}
+    assert {i: t for i, (t, _) in got.items()} == {a: f"t{b}" for a, b in zip(order, order[1:] + order[:1], strict=True)}
+    sigs = {r.text: r.sigs for r in spotsigs.with_next(docs, bucket_rows=3, most=most).collect()}
+    assert all(sigs[t] == s for t, s in got.values())
+
+
+def test_next_of_rows_without_ids_and_of_one_row(spark):
+    docs = spark.createDataFrame([(None, "y"), (3, "b"), (None, "x"), (1, "a"), (3, "b")], "doc_id long, text string")
+    for rows in (1, 2, 9):
+        got = sorted((str(r.doc_id), r.text, r.next_text) for r in spotsigs.with_next(docs, bucket_rows=rows).collect())
+        assert got == [("1", "a", "b"), ("3", "b", "b"), ("3", "b", "x"), ("None", "x", "y"), ("None", "y", "a")]
+    assert [r.next_text for r in spotsigs.with_next(docs.where("doc_id = 1")).collect()] == ["a"]
+
+
+def test_one_far_id_leaves_buckets_small(spark):
+    """Three thousand dense ids and one far off: buckets follow the rows, not the range."""
+    ids = spark.range(3000).union(spark.createDataFrame([(2**60,)], "id long")).withColumnRenamed("id", "doc_id")
+    cuts = ids.agg(F.percentile_approx("doc_id", [i / 12 for i in range(1, 12)], 40960)).first()[0]
+    sizes = [r["count"] for r in ids.withColumn("bucket", spotsigs._bucket(sorted(set(cuts)))).groupBy("bucket").count().collect()]
+    assert len(sizes) == 12 and max(sizes) < 300
+
+
+def test_spotsigs_classes_of_a_hot_group(spark):
+    """Four hundred near copies give four hundred rows of one class."""
+    words = [f"the w{i}" for i in range(120)]
+    rows = [(i, " ".join([*words, f"the x{i}"])) for i in range(400)] + [(900, "the lone text"), (901, "the lone text"), (None, "the lone text"), (None, "no id the")]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in spotsigs.near_duplicates(spark.createDataFrame(rows[:-2], "doc_id long, text string")).collect()}
+    assert got == {i: (0, 399) for i in range(400)} | {900: (900, 0), 901: (900, 0)}
+    out = spotsigs.near_duplicates(spark.createDataFrame(rows[-4:], "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.class_id)) for r in out) == [("900", "900"), ("901", "900"), ("None", "900"), ("None", "None")]
 
 
 def test_spotsigs_join_finds_all_pairs(spark, sample):
@@ -86,7 +113,15 @@ def test_spotsigs_join_finds_all_pairs(spark, sample):
         classes[frozenset(spots(r.text))].append(r.doc_id)
     sets = [(min(ids), s) for s, ids in classes.items()]
     want = {(min(a, b), max(a, b)) for k, (a, s) in enumerate(sets) for b, t in sets[:k] if len(s & t) / len(s | t) >= 0.8}
-    assert {(r.doc_a, r.doc_b) for r in spotsigs.near_duplicates(docs).collect()} == want and len(want) > 5
+    pairs, members = spotsigs.near_pairs(docs)
+    assert {(r.a, r.b) for r in pairs.collect()} == want and len(want) > 5
+    assert {r.doc_id: r["class"] for r in members.collect()} == {i: min(ids) for ids in classes.values() for i in ids}
+    forest = Forest()
+    for a, b in want:
+        forest.join(a, b)
+    links = Counter(x for pair in want for x in pair)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in spotsigs.near_duplicates(docs).collect()}
+    assert got == {i: (forest.root(min(ids)), links[min(ids)]) for ids in classes.values() for i in ids}
 
 
 # --- exact top-k
@@ -104,7 +139,6 @@ def plain_top(rows, k, step):
 
 def test_top_k_against_plain_search(spark, monkeypatch):
     monkeypatch.setattr(kdtree, "SHARD_ROWS", 90)
-    monkeypatch.setattr(kdtree, "BLOCK_QUERIES", 4)
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in np.round(rng.normal(size=6), 1)]) for i in range(400)]
     rows += [(1000 + i, [0.5] * 6) for i in range(150)] + [(2000, None), (2001, [1.0, None, 1.0]), (2002, [float("nan")] * 6), (2003, [float("inf")] * 6), (None, [1.0] * 6), (2050, []), (2004, [3.0])]
@@ -113,11 +147,30 @@ def test_top_k_against_plain_search(spark, monkeypatch):
     assert got == plain_top(rows, 5, 50)
 
 
+def test_boxes_cut_shards_and_leaves():
+    """Vectors of few dimensions in far clusters: a query visits few leaves."""
+    rng = np.random.default_rng(7)
+    rows = np.round(rng.normal(size=(40, 3)) * 1000)[rng.integers(0, 40, 4000)] + rng.integers(-5, 6, (4000, 3))
+    tree = kdtree.Tree(np.arange(4000), rows)
+    assert len(tree.leaves) >= 32 and all((np.diff(of) > 0).all() for of in tree.leaves)
+    queries = rows[::50]
+    exact = queries @ rows.T
+    exact[np.arange(80), np.arange(0, 4000, 50)] = -np.inf
+    want = [np.lexsort((np.arange(4000), -row))[:5].tolist() for row in exact]
+    q, ids, scores = tree.search(queries, np.arange(0, 4000, 50), np.full(80, -np.inf), 5)
+    assert [ids[q == i].tolist() for i in range(80)] == want and (scores == exact[q, ids]).all()
+    kth = np.array([exact[i, want[i][-1]] for i in range(80)])
+    assert (tree.bounds(queries) >= kth[:, None]).sum(1).mean() < len(tree.leaves) / 3
+
+
 def test_top_k_edges(spark):
     shape = "vec_id long, embedding array<double>"
     assert kdtree.top_k(spark.createDataFrame([], shape)).count() == 0
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], shape)
     assert [tuple(r) for r in kdtree.top_k(few).collect()] == [(0, 1, 1, 256 * 512)]
+    twice = spark.createDataFrame([(50, [3.0, 0.0]), (50, [0.0, 1.0]), (1, [1.0, 2.0]), (2, [2.0, 1.0]), (100, [0.0, 1.0])], shape)
+    got = sorted(tuple(r) for r in kdtree.top_k(twice).collect())
+    assert got == [(50, 1, 1, 2 * 65536), (50, 2, 2, 65536), (50, 3, 100, 65536), (100, 1, 1, 2 * 65536), (100, 2, 2, 65536), (100, 3, 50, 65536), (100, 4, 50, 0)]
     large = spark.createDataFrame([(0, [1e9, 3.0]), (1, [1e9, 5.0]), (2, [1e9, 4.0])], shape)
     assert [r.vec_id for r in kdtree.top_k(large).orderBy("rank").collect()] == [1, 2]
 
@@ -189,6 +242,31 @@ def test_line_dedup_edges(odd_docs, no_docs):
     assert linededup.drop_repeats(no_docs).count() == 0
 
 
+def test_line_dedup_with_clashing_names(spark):
+    passage = "\n".join(f"line {i} " + "word " * 12 for i in range(6))
+    rows = [(1, passage + "\nown"), (2, "before\n" + passage), (3, None), (4, "")]
+    docs = spark.createDataFrame([(*r, "a", "b", "c", "d", 9, 9) for r in rows], "doc_id long, text string, _of string, _twin string, _RUNS string, _every string, _lines long, _removed long")
+    out = {r.doc_id: r for r in linededup.drop_repeats(docs).collect()}
+    assert {i: r.text for i, r in out.items()} == {1: passage + "\nown", 2: "before", 3: None, 4: ""}
+    assert {i: (r._lines, r._removed) for i, r in out.items()} == {1: (7, 0), 2: (7, 6), 3: (0, 0), 4: (1, 0)}
+    assert all((r._of, r._twin, r._RUNS, r._every) == ("a", "b", "c", "d") for r in out.values())
+
+
+def test_runs_are_maximal_and_name_their_place(spark):
+    lines = [f"{i} " + "w " * 20 for i in range(30)]
+    rows = [(1, "\n".join(lines[:20])), (2, "\n".join(["x", *lines[3:15], "y", *lines[10:20]])), (3, "\n".join([*lines[16:30], *lines[0:6]])), (4, "\n".join(lines[24:30]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r["first"], r.stop, r.of_doc_id, r.of_first) for r in linededup.repeats(docs).collect()}
+    assert got == {(2, 1, 13, 1, 3), (2, 14, 24, 1, 10), (3, 0, 4, 1, 16), (3, 14, 20, 1, 0), (4, 0, 6, 3, 8)}
+
+
+def test_passage_and_line_in_every_text(spark):
+    passage = [f"common {i} " + "z " * 15 for i in range(5)]
+    rows = [(i, "\n".join(["the one line", f"own {i} " + f"v{i} " * 60, *(passage if i % 3 else []), "the one line"])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in linededup.drop_repeats(docs).collect()} == plain_dedup(rows, linededup.MIN_WORDS)
+
+
 def test_windows_select_their_minimum():
     rng = random.Random(1)
     for _ in range(100):
@@ -253,9 +331,66 @@ def test_bk_tree_equals_plain_comparison():
     assert links.root(np.arange(len(fps))).tolist() == [want[i] for i in range(len(fps))]
 
 
+def tight(count, seed=3):
+    """Fingerprints in clusters within a few bits, and far apart ones."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**64, count // 2, dtype=np.uint64)
+    near = base[rng.integers(0, len(base), count - len(base))].copy()
+    for i in range(len(near)):
+        for k in rng.choice(64, rng.integers(1, 8), replace=False):
+            near[i] ^= np.uint64(1) << np.uint64(k)
+    return np.unique(np.concatenate((base, near)))
+
+
+def plain_roots(fps, radius):
+    forest = Forest()
+    for i in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= radius).tolist():
+            forest.join(i, j)
+    return [forest.root(i) for i in range(len(fps))]
+
+
+def test_bk_tree_of_thousands_is_descended_level_by_level():
+    fps = tight(simhash.TREE)
+    np.random.default_rng(1).shuffle(fps)
+    links = simhash.Links(len(fps))
+    assert simhash.connect(fps, 4, links) >= 3
+    assert links.root(np.arange(len(fps))).tolist() == plain_roots(fps, 4)
+
+
+@pytest.mark.parametrize("own", [0, 1, 7, 300, 700])
+def test_guests_of_a_tree_meet_its_members_only(own):
+    fps = tight(700, own)
+    np.random.default_rng(own).shuffle(fps)
+    links, forest = simhash.Links(len(fps)), Forest()
+    simhash.connect(fps, 4, links, own)
+    for i in range(own):
+        for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 4).tolist():
+            forest.join(i, j)
+    assert links.root(np.arange(len(fps))).tolist() == [forest.root(i) for i in range(len(fps))]
+
+
+def test_main_path_on_shards_of_thousands(spark, monkeypatch):
+    """Components of some thousand fingerprints equal plain comparison, in one tree and in hot shards cut into many."""
+    from trawler.session import Scratch
+
+    fps = tight(3000)
+    texts = [(i, f"{int(f)}") for i, f in enumerate(fps)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    own = lambda d, *a: d.select("doc_id", F.col("text").cast("decimal(20,0)").alias("n")).selectExpr("doc_id", "CAST(n - CASE WHEN n > 9223372036854775807 THEN 18446744073709551616 ELSE 0 END AS LONG) AS fp")
+    monkeypatch.setattr(simhash, "fingerprints", own)
+    want = plain_roots(fps, 4)
+    for tree in (simhash.TREE, 100):
+        monkeypatch.setattr(simhash.in_trees, "__defaults__", (tree,))
+        for keys in (simhash.TREE, 100):
+            monkeypatch.setattr(simhash.shard_keys, "__defaults__", (keys,))
+            got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, scratch=Scratch(spark, "t")).collect()}
+            assert [got[i] for i in range(len(fps))] == want
+
+
 def test_shards_of_fingerprints_lose_no_pair():
     rng = random.Random(9)
-    for distinct in (10, 10**6, 10**10, 10**13):
+    for distinct in (0, 10, 10**4, 10**6, 10**10, 10**13):
         kinds = simhash.shard_keys(4, distinct)
         for _ in range(200):
             a = rng.getrandbits(64)

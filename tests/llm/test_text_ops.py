@@ -2,10 +2,12 @@
 
 import base64
 import hashlib
+import json
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -13,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from trawler.llm import bpe, secrets, tokens, toxicity
+from trawler.llm import bpe, common, secrets, tokens, toxicity
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 JSON = P.path("byte_bpe_50k.json")
@@ -36,6 +38,36 @@ def test_replay_equals_library(library):
     assert bpe.encode(texts, table) == [library.encode_ordinary(t) for t in texts]
 
 
+@pytest.mark.parametrize("stretch, memo", [(1, 1), (7, 40), (60, 5), (1 << 21, 1 << 17)])
+def test_encoder_equals_library_for_any_stretch_and_memo(library, monkeypatch, stretch, memo):
+    monkeypatch.setattr(bpe, "STRETCH", stretch)
+    monkeypatch.setattr(bpe, "MEMO_PIECES", memo)
+    rng = random.Random(2)
+    texts = [t[:900] for t in HARD] + ["".join(rng.choice("ab  \n\tthe's1é.") for _ in range(300)) for _ in range(60)]
+    coder = bpe.Encoder(bpe.merge_table(PATH, P.PATTERN))
+    for _ in range(2):
+        assert [ids.tolist() for ids in coder.encode(texts)] == [library.encode_ordinary(t) for t in texts]
+
+
+def test_slices_are_bounded_by_bytes():
+    texts = ["é" * 10, None, "", "x" * 100, "ab", "cd"] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    parts = list(common.slices(iter([batch, batch.slice(0, 0), batch.slice(3, 4)]), 24))
+    assert [t for _, of in parts for t in of] == [t or "" for t in texts + texts[3:7]]
+    assert all(len(of) == 1 or sum(len(t.encode()) for t in of[:-1]) < 24 for _, of in parts)
+
+
+def test_parts_are_the_text_without_the_cut_spaces():
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice("ab  \n") for _ in range(60))
+        parts = list(common.safe_parts(text, rng.randint(1, 20)))
+        assert " ".join(parts) == text
+        first, *rest = common.safe_pieces(text)
+        again = [p for part in parts for p in common.safe_pieces(part)]
+        assert again == [first, *rest]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(max_size=80), min_size=1, max_size=5))
 def test_replay_equals_library_on_any_text(library, texts):
@@ -71,6 +103,21 @@ def test_counts_equal_library(odd_docs, no_docs):
     assert tokens.token_counts(no_docs, JSON).count() == 0
 
 
+def test_counts_of_parts_and_of_models_that_cannot_be_cut(monkeypatch):
+    model = Tokenizer.from_file(JSON)
+    texts = HARD + ["a <|endoftext|><|endoftext|> b", "x  <|endoftext|> y " * 40]
+    want = [len(e) for e in model.encode_batch(texts, add_special_tokens=False)]
+    for chars, memo in ((1, 1), (30, 10)):
+        monkeypatch.setattr(tokens, "PART_CHARS", chars)
+        monkeypatch.setattr(tokens, "MEMO_PIECES", memo)
+        assert tokens.lengths(texts, JSON) == want
+    spec = json.loads(model.to_str())
+    assert tokens.cuttable(spec) and not tokens.cuttable(spec | {"normalizer": {"type": "NFKC"}}) and not tokens.cuttable(spec | {"pre_tokenizer": {"type": "Whitespace"}})
+    added = {"content": "<x>", "lstrip": True, "rstrip": False, "single_word": False, "normalized": False}
+    assert not tokens.cuttable(spec | {"added_tokens": [added]}) and tokens.cuttable(spec | {"added_tokens": [added | {"lstrip": False}]})
+    assert [b for b in tokens._balanced(["é" * 200_000, "a", "b"])] == [["é" * 200_000], ["a", "b"]]
+
+
 def edits(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
