@@ -9,6 +9,11 @@ members and by those of all later trees of the shard, so no task grows with a ho
 no pair is lost. A shard returns spanning links of what it connected, never all pairs, and stars join
 the links to components.
 
+`near_copies` finds texts whose sets of five-word shingles have a Jaccard likeness of 0.8 and more. Such
+pairs differ in about 15 % of their bits, so it takes fingerprints of 256 bits, a radius of 62 and shards
+that agree on sampled bits: as many samples as leave a pair at 0.8 unmet with probability `MISS` at most
+(likelier pairs far more rarely). What the trees connect are candidates: whole shingle sets decide.
+
 Defined results: null and empty texts have fingerprint zero and are linked like any other; equal
 texts share a fingerprint and so a component; repeated rows do too; extra columns are ignored; an
 empty table gives an empty table. A null doc_id gets a fingerprint but cannot name a component.
@@ -17,8 +22,9 @@ empty table gives an empty table. A null doc_id gets a fingerprint but cannot na
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
-from math import ceil, log2
+from math import acos, ceil, comb, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +39,12 @@ from trawler.session import Scratch
 #: Members of one BK-tree, and members of a node that it holds as a plain list.
 TREE, LEAF = 4096, 8
 
+#: For near copies: words of a shingle, likeness (a fraction), 64-bit words of a fingerprint, radius, chance of a miss, members of a tree.
+WORDS, LIKENESS, WIDTH, RADIUS, MISS, WIDE_TREE = 5, (4, 5), 4, 62, 1e-3, 2048
+
+#: Words whose hashes are held at once inside a Python worker.
+MEMO = 1 << 17
+
 
 def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
     """The 64-bit SimHash of a text: bit set where over half of all shingle hashes, repeats included, set it."""
@@ -101,33 +113,49 @@ class Links:
             np.minimum.at(self.up, np.maximum(x, y), np.minimum(x, y))
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints of one or more words, given as (words, ...)."""
+    out = np.bitwise_count(a[0] ^ b[0]).astype(np.uint16)
+    for x, y in zip(a[1:], b[1:], strict=True):
+        out += np.bitwise_count(x ^ y)
+    return out
+
+
 def connect(fps: np.ndarray, radius: int, links: Links, own: int | None = None) -> int:
     """Join all pairs within the radius of which one at least is among the first own fingerprints (all by
     default): those make the BK-tree, and all descend it while it is built. Returns its depth.
 
-    A node's first member is its pivot; the others hang below it by their distance. A child at distance d
-    is searched by those whose distance to the pivot is within d - radius and d + radius: of the guests of
-    the node by all such, of its own members by those of higher children, since the lower ones search them."""
-    own = len(fps) if own is None else own
-    todo = [(np.arange(own), np.arange(own, len(fps)), 1)]
+    fps: (n,), or (words, n) for longer fingerprints. A node's first member is its pivot; the others hang
+    below it by their distance. A child at distance d is searched by those whose distance to the pivot is
+    within d - radius and d + radius: of the guests of the node by all such, of its own members by those of
+    higher children, since the lower ones search them. A child whose searchers and members are all connected
+    by then has nothing left to tell."""
+    fps = fps.reshape(-1, fps.shape[-1])
+    own = fps.shape[1] if own is None else own
+    todo = [(np.arange(own), np.arange(own, fps.shape[1]), 1)]
     deepest = 0
     while todo:
         members, guests, depth = todo.pop()
+        if depth > 1:
+            roots = links.root(members)
+            if (roots == roots[0]).all() and (links.root(guests) == roots[0]).all():
+                continue
         deepest = max(deepest, depth)
         if len(members) <= LEAF:
-            a, b = np.nonzero(np.triu(np.bitwise_count(fps[members][:, None] ^ fps[members][None, :]) <= radius, 1))
+            mine = fps[:, members][:, :, None]
+            a, b = np.nonzero(np.triu(distance(mine, mine.transpose(0, 2, 1)) <= radius, 1))
             links.join(members[a], members[b])
             for at in range(0, len(guests), 1 << 16):
                 g = guests[at : at + (1 << 16)]
-                a, b = np.nonzero(np.bitwise_count(fps[members][:, None] ^ fps[g][None, :]) <= radius)
+                a, b = np.nonzero(distance(mine, fps[:, g][:, None]) <= radius)
                 links.join(members[a], g[b])
             continue
         pivot, rest = members[0], members[1:]
-        edge, far = (np.bitwise_count(fps[of] ^ fps[pivot]).astype(np.int64) for of in (rest, guests))
+        edge, far = (distance(fps[:, of], fps[:, pivot, None]).astype(np.int64) for of in (rest, guests))
         by_edge, by_far = np.argsort(edge, kind="stable"), np.argsort(far, kind="stable")
         rest, edge, guests, far = rest[by_edge], edge[by_edge], guests[by_far], far[by_far]
-        for of, distance in ((rest, edge), (guests, far)):
-            close = of[: np.searchsorted(distance, radius, "right")]
+        for of, apart in ((rest, edge), (guests, far)):
+            close = of[: np.searchsorted(apart, radius, "right")]
             links.join(close, np.full(len(close), pivot))
         for d in np.unique(edge).tolist():
             begin, end, upto = np.searchsorted(edge, [d, d + 1, d + radius + 1])
@@ -138,47 +166,50 @@ def connect(fps: np.ndarray, radius: int, links: Links, own: int | None = None)
     return deepest
 
 
-def _spanning(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Spanning links of each tree's members and guests, from rows sorted by tree, members first."""
+def _trees(batches: Iterator[pa.RecordBatch], place: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of each tree as one table, from rows sorted by tree."""
     held: list[pa.RecordBatch] = []
 
-    def links_of(table: pa.Table) -> pa.RecordBatch | None:
-        place = [table[c].to_numpy() for c in ("kind", "key", "chunk")]
-        fps, rep, guest = table["fp"].to_numpy().view(np.uint64), table["rep"].to_numpy(), table["guest"].to_numpy()
-        new = np.flatnonzero(np.any([p[1:] != p[:-1] for p in place], axis=0)) + 1
-        us, vs = [], []
-        for a, b in zip([0, *new.tolist()], [*new.tolist(), len(rep)], strict=True):
-            if b - a > 1:
-                links = Links(b - a)
-                connect(fps[a:b], radius, links, b - a - int(guest[a:b].sum()))
-                root = links.root(np.arange(b - a))
-                child = np.flatnonzero(root != np.arange(b - a))
-                us.append(rep[a:b][child])
-                vs.append(rep[a:b][root[child]])
-        if not us:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+    def cut(table: pa.Table) -> Iterator[pa.Table]:
+        marks = [table[c].to_numpy() for c in place]
+        new = np.flatnonzero(np.any([p[1:] != p[:-1] for p in marks], axis=0)) + 1
+        for a, b in zip([0, *new.tolist()], [*new.tolist(), table.num_rows], strict=True):
+            yield table.slice(a, b - a)
 
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
-        last = tuple(batch.column(c)[-1].as_py() for c in range(3))
-        if tuple(held[0].column(c)[0].as_py() for c in range(3)) == last:
-            continue  # one tree so far
-        table = pa.Table.from_batches(held)
-        same = np.all([table.column(c).to_numpy() == last[c] for c in range(3)], axis=0)
-        begin = len(same) - int(same.sum())
-        if out := links_of(table.slice(0, begin)):
-            yield out
-        held = table.slice(begin).to_batches()
-    if held and (out := links_of(pa.Table.from_batches(held))):
-        yield out
+        first, last = ([x.column(x.schema.names.index(c))[i].as_py() for c in place] for x, i in ((held[0], 0), (batch, -1)))
+        if first != last:
+            *whole, rest = cut(pa.Table.from_batches(held))
+            yield from whole
+            held = rest.to_batches()
+    if held:
+        yield from cut(pa.Table.from_batches(held))
+
+
+def _connected(tree: pa.Table, words: list[str], node: str, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of a tree and its guests, and the place of each one's root among them."""
+    n = tree.num_rows
+    links = Links(n)
+    if n > 1:
+        connect(np.array([tree[w].to_numpy().view(np.uint64) for w in words]), radius, links, n - int(tree["guest"].to_numpy().sum()))
+    return tree[node].to_numpy(), links.root(np.arange(n))
+
+
+def _spanning(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Spanning links of each tree's members and guests, from rows sorted by tree, members first."""
+    for tree in _trees(batches, ("kind", "key", "chunk")):
+        rep, root = _connected(tree, ["fp"], "rep", radius)
+        child = np.flatnonzero(root != np.arange(len(rep)))
+        if len(child):
+            yield pa.RecordBatch.from_arrays([pa.array(rep[child]), pa.array(rep[root[child]])], ["u", "v"])
 
 
 def in_trees(dealt: DataFrame, place: list[str], member: str, tree: int = TREE) -> DataFrame:
     """dealt with chunk and guest: each row as a member of one tree of its shard, and as a guest of all trees before it."""
-    hot = dealt.groupBy(*place).agg(F.count("*").alias("_n")).where(F.col("_n") > tree)
+    hot = dealt.groupBy(*place).agg(F.count("*").alias("_n")).where(F.col("_n") > 2 * tree)
     hot = hot.select(*place, F.ceil(F.col("_n") / tree).cast("int").alias("_trees"))
     own = F.coalesce(F.pmod(F.xxhash64(member, F.lit("tree")), "_trees"), F.lit(0)).cast("int")
     rows = dealt.join(hot, place, "left").withColumn("_own", own)
@@ -215,3 +246,212 @@ def near_duplicates(
     found = components(links, scratch)
     named = distinct.join(found, distinct.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return marked.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+# --- near copies at a Jaccard likeness of 0.8
+
+_PLACE = np.random.default_rng(42).integers(0, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: str, memo: dict[bytes, int] | None = None) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a text's five-word shingles; a text of fewer words is one shingle."""
+    memo = {} if memo is None else memo
+    words = text.encode().lower().split()
+    if len(words) < WORDS:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words))], np.uint64)
+    if len(memo) > MEMO:
+        memo.clear()
+    for w in set(words).difference(memo):
+        memo[w] = xxhash.xxh64_intdigest(w)
+    a = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    n = len(a) - WORDS + 1
+    out = a[:n] * _PLACE[0]
+    for k in range(1, WORDS):
+        out += a[k : k + n] * _PLACE[k]
+    return np.unique(out)
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of 64-bit hashes in WIDTH words: each word from the hashes mixed anew."""
+    counts = np.zeros(64 * WIDTH, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        lanes = []
+        for lane in range(WIDTH):
+            # the finalizer of splitmix64
+            z = hashes[at : at + (1 << 14)] + np.uint64(0x9E3779B97F4A7C15 * (lane + 1) % 2**64)
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            lanes.append(z ^ (z >> np.uint64(31)))
+        counts += np.unpackbits(np.stack(lanes, 1).astype(">u8").view(np.uint8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes)).view(">u8").astype(np.uint64)
+
+
+@lru_cache(maxsize=64)
+def samples(bits: int) -> int:
+    """How many samples of so many bits leave a pair at the likeness unmet, or beyond the radius, with probability MISS at most."""
+    width, likeness = 64 * WIDTH, LIKENESS[0] / LIKENESS[1]
+    p = acos(2 * likeness / (1 + likeness)) / pi  # the chance that a bit differs
+    chance = [comb(width, d) * p**d * (1 - p) ** (width - d) for d in range(RADIUS + 1)]
+    met = [comb(width - d, bits) / comb(width, bits) for d in range(RADIUS + 1)]
+    able = lambda count: 1 - sum(chance) + sum(c * (1 - m) ** count for c, m in zip(chance, met, strict=True)) <= MISS
+    high = 1
+    while not able(high):
+        high *= 2
+    low = high // 2 + 1
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if able(middle) else (middle + 1, high)
+    return low
+
+
+_WIDE = [f"w{i}" for i in range(WIDTH)]
+
+
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    memo: dict[bytes, int] = {}
+    for batch in batches:
+        fps = np.array([wide_fingerprint(shingles(t.as_py() or "", memo)) for t in batch.column(2)], np.uint64).reshape(-1, WIDTH).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(fps[:, i])) for i in range(WIDTH))], ["doc_id", "twin", *_WIDE])
+
+
+def _sampled(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Each row once for each sample of bits, with the sample's number and bits as its key."""
+    for batch in batches:
+        words = np.stack([batch.column(1 + i).to_numpy() for i in range(WIDTH)], 1)
+        on = np.unpackbits(words.astype(">i8").view(np.uint8), axis=1).astype(np.int64)
+        for sample in range(samples(bits)):
+            at = np.random.default_rng(sample).permutation(64 * WIDTH)[:bits]
+            key = on[:, at] @ (np.int64(1) << np.arange(bits, dtype=np.int64)) + (np.int64(sample) << np.int64(40))
+            yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns], ["key", "twin", *_WIDE])
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(group, leader, twin) of all that a tree connects to another one; the leader is the group's smallest member."""
+    for tree in _trees(batches, ("key", "chunk")):
+        twin, root = _connected(tree, _WIDE, "twin", RADIUS)
+        size = np.bincount(root, minlength=len(twin))
+        at = np.flatnonzero(size[root] > 1)
+        if not len(at):
+            continue
+        lead = np.full(len(twin), 2**63 - 1)
+        np.minimum.at(lead, root[at], twin[at])
+        seed = xxhash.xxh64_intdigest(f"{tree['key'][0]} {tree['chunk'][0]}")
+        group = ((root[at].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(seed)
+        yield pa.RecordBatch.from_arrays([pa.array(group.view(np.int64)), pa.array(lead[root[at]]), pa.array(twin[at])], ["group", "leader", "twin"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    memo: dict[bytes, int] = {}
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            held = [shingles(t.as_py() or "", memo).view(np.int64) for t in part.column(1)]
+            offsets = pa.array(np.append(0, np.cumsum([len(h) for h in held])), pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(held)))], ["twin", "held"])
+
+
+class _Sets:
+    """Sets of shingles laid out so that one set is compared with all of them at once."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.values, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.size = np.array([len(s) for s in sets])
+        self.start = np.append(0, np.cumsum(self.size)[:-1])
+        self.mark = np.zeros(len(self.values), bool)
+
+    def alike(self, one: np.ndarray, able: np.ndarray) -> np.ndarray:
+        """Which of the able sets have the likeness to the given one."""
+        over, under = LIKENESS
+        able = able & (self.size * under >= len(one) * over) & (len(one) * under >= self.size * over)
+        some = np.flatnonzero(able)
+        if not len(some):
+            return some
+        at = np.searchsorted(self.values, one)
+        at = at[(at < len(self.values)) & (self.values[np.minimum(at, len(self.values) - 1)] == one)]
+        self.mark[at] = True
+        if len(some) * 4 > len(self.size):
+            same = np.add.reduceat(self.mark[self.flat], self.start, dtype=np.int64)[some]
+        else:
+            same = np.array([self.mark[self.flat[self.start[j] : self.start[j] + self.size[j]]].sum() for j in some])
+        self.mark[at] = False
+        return some[same * under >= (self.size[some] + len(one) - same) * over]
+
+
+def compare(tree: pa.Table) -> tuple[list[int], list[int]]:
+    """Links (u, v) between members of a tree, and between its members and guests, of the likeness at least: enough to
+    connect all that are that like, given that rows of one label are connected already."""
+    twin, label = tree["twin"].to_numpy(), tree["label"].to_numpy()
+    own = tree.num_rows - int(tree["guest"].to_numpy().sum())
+    held = tree["held"].combine_chunks()
+    read = lambda i: held[i].values.to_numpy().view(np.uint64)
+    sets = _Sets([read(i) for i in range(own)])
+    links, every = Links(own), np.arange(own)
+    first = {}
+    for i, x in enumerate(label[:own].tolist()):
+        first.setdefault(x, i)
+    links.join(every, np.array([first[x] for x in label[:own].tolist()]))
+    us, vs = [], []
+    root = links.root(every)
+    for i in range(own - 1):
+        able = (root != root[i]) & (every > i)
+        if able.any() and len(like := sets.alike(read(i), able)):
+            us += twin[like].tolist()
+            vs += [int(twin[i])] * len(like)
+            links.join(like, np.full(len(like), i))
+            root = links.root(every)
+    for i in range(own, tree.num_rows):
+        known = first.get(int(label[i]))
+        able = np.ones(own, bool) if known is None else root != root[known]
+        # one member of each component is tried before all
+        for some in (np.isin(every, np.unique(root)), np.ones(own, bool)):
+            if (able & some).any():
+                like = sets.alike(read(i), able & some)
+                us += twin[like].tolist()
+                vs += [int(twin[i])] * len(like)
+                able &= ~np.isin(root, root[like])
+    return us, vs
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for tree in _trees(batches, ("group", "chunk")):
+        us, vs = compare(tree)
+        if us:
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """(doc_id, twin, component) of every row: twin is the text's xxhash64, component the smallest twin reachable over
+    likenesses of 0.8 and more between whole sets of five-word shingles.
+
+    Every group that a tree of wide fingerprints connects is first held against its leader, one comparison for each member
+    and leader however many trees met them. Only groups that this leaves in several components are compared inside."""
+    scratch = scratch or Scratch(docs.sparkSession, "nearcopies")
+    texts = columns(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("twin"), "text")
+    longs = ", ".join(f"{w} long" for w in _WIDE)
+    marked = scratch.keep(texts.mapInArrow(_wide, f"doc_id long, twin long, {longs}"))
+    distinct = scratch.keep(marked.drop("doc_id").dropDuplicates(["twin"]))
+    n = distinct.count()
+    bits = max(0, ceil(log2(max(n, 1) / WIDE_TREE)))
+    keyed = scratch.keep(distinct.select("twin", *_WIDE).mapInArrow(lambda b: _sampled(b, bits), f"key long, twin long, {longs}"))
+    dealt = in_trees(keyed, ["key"], "twin", WIDE_TREE).select("key", "chunk", "guest", "twin", *_WIDE)
+    tasks = max(8, ceil(n * samples(bits) / 50_000))
+    groups = dealt.repartition(tasks, "key", "chunk").sortWithinPartitions("key", "chunk", "guest", "twin").mapInArrow(_groups, "group long, leader long, twin long")
+    groups = scratch.keep(groups)
+    sets = texts.select("twin", "text").join(groups.select("twin").distinct(), "twin", "left_semi").dropDuplicates(["twin"])
+    sets = scratch.keep(sets.mapInArrow(_sets, "twin long, held array<long>"))
+    pairs = scratch.keep(groups.where("twin <> leader").select("leader", "twin").distinct())
+    both = pairs.join(sets, "twin").join(sets.select(F.col("twin").alias("leader"), F.col("held").alias("of")), "leader")
+    same = F.size(F.array_intersect("held", "of"))
+    like = same * LIKENESS[1] >= (F.size("held") + F.size("of") - same) * LIKENESS[0]
+    links = scratch.keep(both.where(like).select(F.col("leader").alias("u"), F.col("twin").alias("v")))
+    found = scratch.keep(components(links, scratch))
+    labelled = scratch.keep(groups.join(found, groups.twin == found.node, "left").select("group", "twin", F.coalesce("component", "twin").alias("label")))
+    # groups of the same members, met in several trees, are compared once
+    whole = [F.bit_xor(F.xxhash64("twin", F.lit(i))).alias(f"whole{i}") for i in (0, 1)]
+    open_ = labelled.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), *whole).where("low <> high")
+    open_ = scratch.keep(open_.dropDuplicates(["n", "whole0", "whole1"]).select("group"))
+    members = in_trees(scratch.keep(labelled.join(open_, "group")), ["group"], "twin", WIDE_TREE).select("group", "chunk", "guest", "twin", "label")
+    inside = members.join(sets, "twin").repartition(max(8, ceil(sets.count() / 5_000)), "group", "chunk").sortWithinPartitions("group", "chunk", "guest", "twin")
+    more = inside.mapInArrow(_compared, "u long, v long")
+    found = scratch.keep(components(links.union(more), scratch))
+    return marked.select("doc_id", "twin").join(found, F.col("twin") == found.node, "left").select("doc_id", "twin", F.coalesce("component", "twin").alias("component"))
