@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawler.llm import bpe, linededup, mixing, nearcopies, toxicity
+from trawler.llm import bpe, linededup, mixing, simhash, toxicity
 from trawler.llm.queries import held_out
 from trawler.session import Scratch, ship_package
 
@@ -37,9 +37,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     ship_package(spark)
     scratch = Scratch(spark, "pipeline-simhash")
-    marked = scratch.keep(nearcopies.near_copies(docs, scratch).groupBy("doc_id", "twin", "component").agg(F.count("*").alias("n")))
+    marked = scratch.keep(simhash.near_copies(docs, scratch=scratch).groupBy("doc_id", "twin", "component").agg(F.count("*").alias("n")))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "twin")
-    first = marked.groupBy("component").agg(F.min(order).alias("first"))
+    first = scratch.keep(marked.groupBy("component").agg(F.min(order).alias("first")))
     groups = scratch.keep(marked.join(first, "component").select("doc_id", "twin", "n", (order == F.col("first")).alias("stays")))
     rows = docs.withColumn("_twin", F.xxhash64("text"))
 
