@@ -18,7 +18,8 @@ def test_stages_in_order():
 
 
 def test_stages_against_plain_python(spark, tmp_path):
-    from tests.llm.test_set_ops import plain_components, plain_dedup, plain_fingerprint
+    from tests.llm.test_nearcopies import plain_kept
+    from tests.llm.test_set_ops import plain_dedup
     from trawler.llm import mixing
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -32,8 +33,7 @@ def test_stages_against_plain_python(spark, tmp_path):
     clean, lines, single, mixed, coded = kept
     want = plain_dedup(list(zip(clean.doc_id, clean.text, strict=True)), 50)
     assert dict(zip(lines.doc_id, lines.text, strict=True)) == want and (lines.n_chars == lines.text.str.len()).all()
-    groups = plain_components(sorted((i, plain_fingerprint(t)) for i, t in zip(lines.doc_id, lines.text, strict=True)))
-    assert set(single.doc_id) == set(groups.values()) and single.doc_id.is_unique
+    assert set(single.doc_id) == plain_kept(sorted(zip(lines.doc_id, lines.text, strict=True))) and single.doc_id.is_unique
     words = single.text.map(lambda t: len(t.split()))
     wanted = mixing.targets(words.groupby(single.source).sum().to_dict())
     taken = mixed.text.map(lambda t: len(t.split())).groupby(mixed.source).sum()
