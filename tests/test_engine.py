@@ -82,15 +82,25 @@ def test_and_is_inside_or_and_rm3_reduces_to_plain_ranking(spark, index):
 
 def test_weights_of_one_equal_the_flat_index(spark):
     rows = spark.createDataFrame([(0, "red fox", "red red dog"), (1, "", "fox")], "doc_id long, title string, text string")
-    fields = {f: rows.select("doc_id", T.analyzed(F.col(f)).alias("terms")) for f in ("title", "text")}
+    fields = score.FieldIndex.build(rows, {f: F.col(f) for f in ("title", "text")})
     flat = Index.build(rows.withColumn("content", F.concat_ws(" ", "title", "text")))
     for part in ("postings", "lexicon", "lengths"):
-        a, b = ({tuple(r) for r in getattr(i, part).collect()} for i in (score.weighted_index(fields, {"title": 1, "text": 1}), flat))
+        a, b = ({tuple(r) for r in getattr(i, part).collect()} for i in (fields.weighted({"title": 1, "text": 1}), flat))
         assert a == b
-    gone = score.weighted_index(fields, {"title": 2, "text": 0})
+    gone = fields.weighted({"title": 2, "text": 0})
     assert {(r.term, r.doc_id, r.tf) for r in gone.postings.collect()} == {("red", 0, 2), ("fox", 0, 2)} and gone.stats.first().avgdl == 2.0
 
 
+def test_weightings_searched_together_equal_each_on_its_own(spark):
+    rows = spark.createDataFrame([(i, f"fox w{i % 3}", "fox dog " * (i % 4) + f"w{i % 5} end") for i in range(40)] + [(99, None, "")], "doc_id long, title string, text string")
+    fields = score.FieldIndex.build(rows, {"title": F.col("title"), "text": F.col("text")})
+    q = qterms(spark, a=["fox", "w1"], b=["dog"], c=["unknown"])
+    variants = [{"title": 3, "text": 1}, {"title": 2, "text": 0}, {"title": 0, "text": 1}]
+    got = {(r.variant, r.qid, r.doc_id, round(r.score, 9), r["rank"]) for r in fields.search(q, variants, 7).collect()}
+    want = {(i, r.qid, r.doc_id, round(r.score, 9), r["rank"]) for i, w in enumerate(variants) for r in score.search(q, fields.weighted(w), 7).collect()}
+    assert got == want and {g[0] for g in got} == {0, 1, 2}
+
+
 def test_features_by_hand(spark):
     q, title = F.split(F.lit("art new art"), " "), F.split(F.lit("modern new art museum"), " ")
     none = F.array().cast("array<string>")

@@ -82,11 +82,14 @@ def remove_stopwords(tokens: Column) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(*STOPWORDS))
 
 
+def is_kept(token: Column) -> Column:
+    """Whether a token is no stopword, 2 to 40 characters long and not all digits."""
+    return F.length(token).between(MIN_TOKEN_LENGTH, MAX_TOKEN_LENGTH) & ~token.isin(*STOPWORDS) & ~token.rlike(r"^\p{Nd}+$")
+
+
 def kept(tokens: Column) -> Column:
     """Tokens that are no stopwords, 2 to 40 characters long and not all digits."""
-    return F.filter(
-        tokens, lambda t: ~t.isin(*STOPWORDS) & F.length(t).between(MIN_TOKEN_LENGTH, MAX_TOKEN_LENGTH) & ~t.rlike(r"^\p{Nd}+$")
-    )
+    return F.filter(tokens, is_kept)
 
 
 def analyzed(text: Column, tokenizer=simple_tokens) -> Column:
@@ -94,6 +97,11 @@ def analyzed(text: Column, tokenizer=simple_tokens) -> Column:
     return kept(tokenizer(text))
 
 
+def exploded(texts: DataFrame, text: Column, *keys: str) -> DataFrame:
+    """(*keys, term): the terms of `analyzed` as rows. The filter runs on rows, where its code is compiled, not inside a list."""
+    return texts.select(*keys, F.explode(simple_tokens(text)).alias("term")).where(is_kept(F.col("term")))
+
+
 def stem_vocabulary(terms: DataFrame, col: str = "term") -> DataFrame:
     """(term, stem) of the distinct terms; a stem shorter than two characters is null."""
 

@@ -38,6 +38,17 @@ def term_freq(analyzed: DataFrame) -> DataFrame:
     return analyzed.select("doc_id", F.explode("terms").alias("term")).groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"))
 
 
+def counted(terms: DataFrame) -> DataFrame:
+    """(term, doc_id, tf) from (doc_id, term) rows."""
+    return terms.groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"))
+
+
+def summed_length(ids: DataFrame, postings: DataFrame) -> DataFrame:
+    """(doc_id, length) of all ids as the sum of their frequencies, so that texts are analysed once."""
+    sums = postings.groupBy("doc_id").agg(F.sum("tf").cast("int").alias("length"))
+    return ids.join(sums, "doc_id", "left").select("doc_id", F.coalesce("length", F.lit(0)).alias("length"))
+
+
 def doc_length(analyzed: DataFrame) -> DataFrame:
     """(doc_id, length): terms with repetition; 0 for documents without a term, which count all the same."""
     return analyzed.select("doc_id", F.size("terms").alias("length"))
@@ -90,8 +101,17 @@ class Index:
 
     @classmethod
     def build(cls, corpus: DataFrame, text: str = "content", id_col: str = "doc_id", stem: bool = False) -> Index:
-        terms = analyze(corpus, text, id_col, stem)
-        postings, lengths = term_freq(terms), doc_length(terms)
+        if stem:
+            terms = analyze(corpus, text, id_col, stem)
+            postings, lengths = term_freq(terms), doc_length(terms)
+        else:
+            corpus = corpus.withColumnRenamed(id_col, "doc_id")
+            postings = counted(T.exploded(corpus, F.col(text), "doc_id"))
+            lengths = summed_length(corpus.select("doc_id"), postings)
+        return cls(postings, lexicon(postings), lengths, doc_stats(lengths))
+
+    @classmethod
+    def of(cls, postings: DataFrame, lengths: DataFrame) -> Index:
         return cls(postings, lexicon(postings), lengths, doc_stats(lengths))
 
     def persist(self) -> Index:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +19,11 @@ def tfidf_weight() -> Column:
     return (1 + F.log("tf")) * F.log(F.col("n_docs") / F.col("df"))
 
 
-def bm25_weight(k1: float | Column = K1, b: float | Column = B) -> Column:
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    return idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avgdl")))
+def bm25_weight(k1: float | Column = K1, b: float | Column = B, of: dict[str, Column] | None = None) -> Column:
+    """BM25 of one term in one document; `of` names other columns than tf, df, length and avgdl."""
+    tf, df, length, avgdl = ((of or {}).get(c, F.col(c)) for c in ("tf", "df", "length", "avgdl"))
+    idf = F.log((F.col("n_docs") - df + 0.5) / (df + 0.5) + 1)
+    return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avgdl))
 
 
 #: Scorers by name: column expressions over tf, df, length, n_docs, avgdl.
@@ -65,21 +68,69 @@ def bm25_grid(qterms: DataFrame, index: Index, grid: list[tuple[float, float]],
     return top_k(sums.select("qid", "doc_id", F.explode(rows).alias("g")).select("g.k1", "g.b", "qid", "doc_id", "g.score"), k, by=["k1", "b", "qid"])
 
 
-def weighted_index(fields: dict[str, DataFrame], weights: dict[str, int]) -> Index:
-    """One index over analysed fields (doc_id, terms) that counts each field's terms as often as it weighs;
-    the same as repeating the field's text, without the repetition. A field of weight 0 vanishes."""
-    from trawler.operators.index import doc_length, doc_stats, lexicon, term_freq
-
-    postings = lengths = None
-    for name, analysed in fields.items():
-        w = max(weights[name], 0)
-        tf = term_freq(analysed).where(F.lit(w > 0)).withColumn("tf", (F.col("tf") * w).cast("int"))
-        dl = doc_length(analysed).withColumn("length", (F.col("length") * w).cast("int"))
-        postings = tf if postings is None else postings.unionByName(tf)
-        lengths = dl if lengths is None else lengths.unionByName(dl)
-    postings = postings.groupBy("term", "doc_id").agg(F.sum("tf").cast("int").alias("tf"))
-    lengths = lengths.groupBy("doc_id").agg(F.sum("length").cast("int").alias("length"))
-    return Index(postings, lexicon(postings), lengths, doc_stats(lengths))
+@dataclass
+class FieldIndex:
+    """Postings and lengths with one frequency for each field: (term, doc_id, tf_<field>...), (doc_id, length_<field>...).
+
+    Any weighting of the fields is a projection of these tables; no text is read again for it."""
+
+    fields: list[str]
+    postings: DataFrame
+    lengths: DataFrame
+
+    @classmethod
+    def build(cls, corpus: DataFrame, fields: dict[str, Column], id_col: str = "doc_id") -> FieldIndex:
+        from trawler.functions.text import exploded
+
+        corpus, rows = corpus.withColumnRenamed(id_col, "doc_id"), None
+        for name, text in fields.items():
+            part = exploded(corpus, text, "doc_id").withColumn("field", F.lit(name))
+            rows = part if rows is None else rows.unionByName(part)
+        tfs = [F.count(F.when(F.col("field") == f, 1)).cast("int").alias(f"tf_{f}") for f in fields]
+        return cls(list(fields), rows.groupBy("term", "doc_id").agg(*tfs), corpus.select("doc_id"))._measured()
+
+    def _measured(self) -> FieldIndex:
+        """lengths, now only ids, as sums of the frequencies."""
+        postings = self.postings.persist()
+        sums = postings.groupBy("doc_id").agg(*(F.sum(f"tf_{f}").cast("int").alias(f"length_{f}") for f in self.fields))
+        lengths = self.lengths.join(sums, "doc_id", "left").select("doc_id", *(F.coalesce(f"length_{f}", F.lit(0)).alias(f"length_{f}") for f in self.fields))
+        return FieldIndex(self.fields, postings, lengths.persist())
+
+    def unpersist(self) -> None:
+        self.postings.unpersist()
+        self.lengths.unpersist()
+
+    def mix(self, prefix: str, weights: dict[str, int]) -> Column:
+        return sum((F.col(f"{prefix}_{f}") * max(weights[f], 0) for f in self.fields), F.lit(0)).cast("int")
+
+    def weighted(self, weights: dict[str, int]) -> Index:
+        """One index that counts each field's terms as often as it weighs: the same as repeating the field's
+        text, without the repetition. A field of weight 0 vanishes."""
+        postings = self.postings.select("term", "doc_id", self.mix("tf", weights).alias("tf")).where("tf > 0")
+        return Index.of(postings, self.lengths.select("doc_id", self.mix("length", weights).alias("length")))
+
+    def search(self, qterms: DataFrame, variants: list[dict[str, int]], k: int, k1: float = K1, b: float = B) -> DataFrame:
+        """(variant, qid, doc_id, score, rank) for all weightings at once: postings are joined once and the sums differ.
+        variant is a weighting's place in the list."""
+        met = qterms.join(self.postings, "term")
+        n = range(len(variants))
+        tf = [self.mix("tf", w).alias(f"tf{i}") for i, w in enumerate(variants)]
+        wanted = self.postings.join(qterms.select("term").distinct(), "term", "left_semi").select("term", *tf)
+        df = wanted.groupBy("term").agg(*(F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in n))
+        length = [self.mix("length", w).alias(f"length{i}") for i, w in enumerate(variants)]
+        lengths = self.lengths.select("doc_id", *length)
+        stats = lengths.agg(F.count("*").alias("n_docs"), *(F.coalesce(F.avg(f"length{i}"), F.lit(0.0)).alias(f"avgdl{i}") for i in n))
+        # the statistics are one row
+        facts = met.select("qid", "term", "doc_id", *tf).join(df, "term").join(lengths, "doc_id").join(F.broadcast(stats), how="inner")
+
+        def sum_of(i: int) -> Column:
+            weight = bm25_weight(k1, b, {c: F.col(f"{c}{i}") for c in ("tf", "df", "length", "avgdl")})
+            return F.sum(F.when(F.col(f"tf{i}") > 0, weight)).alias(f"s{i}")
+
+        sums = facts.groupBy("qid", "doc_id").agg(*map(sum_of, n))
+        rows = F.array(*(F.struct(F.lit(i).alias("variant"), F.col(f"s{i}").alias("score")) for i in n))
+        found = sums.select("qid", "doc_id", F.explode(rows).alias("g")).select("g.variant", "qid", "doc_id", "g.score").where("score is not null")
+        return top_k(found, k, by=["variant", "qid"])
 
 
 def rm3_expand(qterms: DataFrame, index: Index, fb_docs: int = 10, fb_terms: int = 10, orig_weight: float = 0.5, k1: float = K1, b: float = B) -> DataFrame:

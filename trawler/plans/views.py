@@ -46,7 +46,7 @@ class Views:
         for value in list(self.__dict__.values()):
             frames = (value.postings, value.lexicon, value.lengths, value.stats) if isinstance(value, Index) else (value,)
             for frame in frames:
-                if isinstance(frame, DataFrame):
+                if isinstance(frame, (DataFrame, score.FieldIndex)):
                     frame.unpersist()
 
     def table(self, name: str) -> DataFrame:
@@ -100,12 +100,13 @@ class Views:
         return Index.build(self.corpus).persist()
 
     @cached_property
-    def weighted(self) -> Index:
-        return self.weighted_by(FIELD_WEIGHTS).persist()
+    def fielded(self) -> score.FieldIndex:
+        """Postings of the three fields, which all weightings share."""
+        return score.FieldIndex.build(self.corpus, {"title": F.col("title"), "text": F.col("text"), "keywords": F.concat_ws(" ", "keywords")})
 
-    def weighted_by(self, weights: dict[str, int]) -> Index:
-        texts = {"title": F.col("title"), "text": F.col("text"), "keywords": F.concat_ws(" ", "keywords")}
-        return score.weighted_index({f: self.corpus.select("doc_id", T.analyzed(c).alias("terms")) for f, c in texts.items()}, weights)
+    @cached_property
+    def weighted(self) -> Index:
+        return self.fielded.weighted(FIELD_WEIGHTS).persist()
 
     @cached_property
     def bm25(self) -> DataFrame:
