@@ -163,6 +163,18 @@ def test_query_and_judgement_readers(spark, tmp_path):
     assert readers.read_qrels(spark, str(tmp_path / "r.csv"), positive_only=False).count() == 2
 
 
+def test_runs_in_several_files_keep_their_order(spark, tmp_path):
+    lines = [f"q,d{i}" for i in range(3000)]
+    for name, some in (("a", lines[:3]), ("b", lines[3:2000]), ("c", lines[2000:])):
+        (tmp_path / f"{name}.csv").write_text("\n".join(["qid,doc_id", *some]) + "\n")
+    (tmp_path / "qrels").mkdir()
+    (tmp_path / "qrels" / "a.csv").write_text("qid,doc_id,rel\nq,x,1\n")
+    (tmp_path / "qrels" / "b.csv").write_text("qid,doc_id,rel\n" + "q,y,1\n" * 500 + "q,x,2\nq,y,3\n")
+    got = [(r["rank"], r.doc_id) for r in readers.read_run(spark, f"{tmp_path}/*.csv").orderBy("rank").collect()]
+    assert got == [(i + 1, f"d{i}") for i in range(3000)]
+    assert {(r.doc_id, r.rel) for r in readers.read_qrels(spark, f"{tmp_path}/qrels").collect()} == {("x", 2), ("y", 3)}
+
+
 def test_treebank_and_stems(spark):
     text = "Don't stop, it's \"fine\" (really). The well-known U.S. café costs $5 — John's and 'tis."
     tokens = spark.range(1).select(T.treebank_tokens(F.lit(text)).alias("t")).first().t
@@ -173,14 +185,20 @@ def test_treebank_and_stems(spark):
     assert {(r.term, r.tf) for r in stems.postings.collect()} == {("run", 3)}
 
 
-def test_dense_search(spark):
+def test_dense_search(spark, monkeypatch):
+    monkeypatch.setattr(dense, "BLOCK_QUERIES", 2)
     rng = np.random.default_rng(0)
     v = rng.normal(size=(60, 4))
     docs = spark.createDataFrame([(i, v[i].tolist()) for i in range(60)], "doc_id long, vec array<double>")
     queries = spark.createDataFrame([(q, v[q].tolist()) for q in range(3)], "qid long, vec array<double>")
-    got = {(r.qid, r.rank): r.doc_id for r in dense.dense_topk(queries, docs, 5, block=2).collect()}
+    got = {(r.qid, r.rank): r.doc_id for r in dense.dense_topk(queries, docs, 5, shard_rows=17).collect()}
     want = {(q, k + 1): int(d) for q in range(3) for k, d in enumerate(np.argsort(-(v @ v[q]))[:5])}
     assert got == want
+    named = [c.withColumn(i, F.concat(F.lit("n"), F.col(i).cast("string"))) for c, i in ((queries, "qid"), (docs, "doc_id"))]
+    ties = named[1].withColumn("vec", F.expr("array(1D, 0D, 0D, 0D)"))
+    assert {(r.qid, r.rank): r.doc_id for r in dense.dense_topk(named[0], named[1], 5).collect()} == {(f"n{q}", k): f"n{d}" for (q, k), d in want.items()}
+    found = [r.doc_id for r in dense.dense_topk(named[0], ties, 3, exclude_self=True, shard_rows=9).where("qid = 'n0'").orderBy("rank").collect()]
+    assert found == ["n1", "n10", "n11"]
     texts = spark.createDataFrame([(0, "a b"), (1, None)], "doc_id long, text string")
     vectors = {r.doc_id: r.vec for r in dense.encode_texts(texts, dense.hashing_encoder(8)).collect()}
     assert sum(x * x for x in vectors[0]) == pytest.approx(1.0) and not any(vectors[1])

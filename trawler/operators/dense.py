@@ -8,14 +8,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawler.functions.features import dot
 from trawler.operators.topk import top_k
 
-#: Queries scored against a batch of vectors at once; larger batches of queries go block by block.
-BLOCK_QUERIES = 1024
+#: Vectors that a task holds at once, and queries scored against them at once.
+SHARD_ROWS, BLOCK_QUERIES = 8192, 1024
 
 
 def dense_sim(pairs: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
@@ -24,39 +26,61 @@ def dense_sim(pairs: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFram
     return pairs.join(q, "qid", "left").join(d, "doc_id", "left").select("qid", "doc_id", dot(F.col("q_vec"), F.col("d_vec")).alias("sim"))
 
 
-def dense_topk(queries: DataFrame, docs: DataFrame, k: int = 200, exclude_self: bool = False, block: int = BLOCK_QUERIES) -> DataFrame:
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best vectors of each shard for each of its queries, from (shard, qid, doc_id, vec) sorted by shard, vectors first."""
+    now, ids, parts, matrix, order = None, [], [], None, None
+
+    def answer(qids: pa.Array, queries: np.ndarray) -> pa.RecordBatch:
+        scores = np.floor(queries @ matrix.T * 1e6 + 0.5) / 1e6
+        keep = min(k, len(ids))
+        least = np.partition(scores, len(ids) - keep, axis=1)[:, len(ids) - keep]
+        rows, docs, found = [], [], []
+        for i, row in enumerate(scores):
+            at = np.flatnonzero(row >= least[i])
+            at = at[np.lexsort((order[at], -row[at]))[:keep]]
+            rows.append(np.full(len(at), i))
+            docs.append(at)
+            found.append(row[at])
+        return pa.RecordBatch.from_arrays([qids.take(pa.array(np.concatenate(rows))), ids.take(pa.array(np.concatenate(docs))), pa.array(np.concatenate(found))], ["qid", "doc_id", "score"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        shard, asks = batch.column(0).to_numpy(), batch.column(2).is_null().to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero((shard[1:] != shard[:-1]) | (asks[1:] != asks[:-1])) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shard)], strict=True):
+            part = batch.slice(a, b - a)
+            if shard[a] != now:
+                now, ids, parts, matrix = shard[a], [], [], None
+            if not asks[a]:
+                ids.append(part.column(2))
+                parts.append(_matrix(part.column(3)))
+                continue
+            if matrix is None and parts:
+                ids, matrix, order = pa.concat_arrays(ids), np.concatenate(parts), np.empty(sum(map(len, ids)), np.int64)
+                order[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+            if matrix is not None:
+                for at in range(0, part.num_rows, BLOCK_QUERIES):
+                    some = part.slice(at, BLOCK_QUERIES)
+                    yield answer(some.column(1), _matrix(some.column(3)))
+
+
+def dense_topk(queries: DataFrame, docs: DataFrame, k: int = 200, exclude_self: bool = False, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(qid, doc_id, score, rank): the k largest inner products of each query with all vectors.
 
-    A block of the stated queries goes to every batch of vectors, which keeps its k best for each
-    query; only those are shuffled."""
-    found = None
-    batch: list = []
-
-    def run_block(rows: list) -> DataFrame:
-        qids, matrix = [r.qid for r in rows], np.array([r.vec for r in rows], np.float64)
-
-        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                ids = pdf["doc_id"].to_numpy()
-                scores = matrix @ np.stack(pdf["vec"].to_numpy()).astype(np.float64).T
-                keep = min(len(ids), k + 1)
-                for qid, row in zip(qids, np.floor(scores * 1e6 + 0.5) / 1e6, strict=True):
-                    at = np.lexsort((ids, -row))[:keep]
-                    yield pd.DataFrame({"qid": qid, "doc_id": ids[at], "score": row[at]})
-
-        kind = queries.schema["qid"].dataType.simpleString()
-        return docs.where("vec is not null").select("doc_id", "vec").mapInPandas(best, f"qid {kind}, doc_id long, score double")
-
-    for row in queries.where("vec is not null").select("qid", "vec").toLocalIterator():
-        batch.append(row)
-        if len(batch) == block:
-            part, batch = run_block(batch), []
-            found = part if found is None else found.union(part)
-    if batch or found is None:
-        part = run_block(batch) if batch else docs.sparkSession.createDataFrame([], f"qid {queries.schema['qid'].dataType.simpleString()}, doc_id long, score double")
-        found = part if found is None else found.union(part)
+    Vectors are dealt into shards, and the stated queries stream past each shard in blocks: a task holds one
+    shard and one block, vectors move once, and only the k best of each query and shard are ranked."""
+    kind, id_kind = queries.schema["qid"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.where("vec is not null and doc_id is not null")
+    shards = max(1, -(-docs.count() // shard_rows))
+    held = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(None).cast(kind).alias("qid"), "doc_id", "vec")
+    asked = queries.where("vec is not null").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "qid", F.lit(None).cast(id_kind), "vec")
+    met = held.union(asked).repartition(max(8, 2 * shards), "shard").sortWithinPartitions("shard", F.col("doc_id").isNull())
+    found = met.mapInArrow(lambda b: _best(b, k + exclude_self), f"qid {kind}, doc_id {id_kind}, score double")
     if exclude_self:
         found = found.where("qid <> doc_id")
     return top_k(found, k)

@@ -85,6 +85,11 @@ def postings_lookup(postings: DataFrame, terms: list[str]) -> DataFrame:
     return postings.where(F.col("term").isin(terms))
 
 
+def postings_of(postings: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The lists of any number of terms, given as a table."""
+    return postings.join(wanted.select("term").distinct(), "term", "left_semi")
+
+
 def lexicon_df(wanted: DataFrame, lex: DataFrame) -> DataFrame:
     """(term, df) of wanted terms, df 0 for unknown ones."""
     return wanted.join(lex.select("term", "df"), "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))

@@ -215,7 +215,7 @@ _BODIES = {
     "inverted_lists": "SELECT term, string_agg(doc_id || ':' || tf, ' ' ORDER BY doc_id) AS list FROM postings GROUP BY 1",
     "index_stats": "SELECT count(*) AS number_of_lists, round(sum(df) / CAST(count(*) AS DOUBLE), 2) AS average_list_size FROM lex",
     "doc_stats": f"SELECT n_docs, {r6('avgdl')} FROM stats",
-    "postings_lookup": "SELECT term, doc_id, tf FROM postings WHERE term IN (SELECT DISTINCT term FROM qterms ORDER BY term LIMIT 5)",
+    "postings_lookup": "SELECT term, doc_id, tf FROM postings WHERE term IN (SELECT term FROM qterms)",
     "lexicon_df": "SELECT term, coalesce(df, 0) AS df FROM (SELECT DISTINCT term FROM qterms UNION SELECT 'zzunknownzz') LEFT JOIN lex USING (term)",
     "match_and": "SELECT qid, doc_id FROM mand",
     "match_or": "SELECT qid, doc_id, matched FROM mor",

@@ -56,11 +56,11 @@ def ship_package(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a default where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, the warehouse, and in a local session, as in tests, a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        # unset means a local session, as in tests; a cluster names a folder all machines reach
-        folder = f"file://{tempfile.gettempdir()}/trawler-shared"
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        folder = f"file://{tempfile.gettempdir()}/trawler-shared" if local else spark.conf.get("spark.sql.warehouse.dir")
     return folder.rstrip("/")
 
 

@@ -61,15 +61,22 @@ def read_queries(spark: SparkSession, path: str, keep_empty_text: bool = False)
 
 def read_qrels(spark: SparkSession, path: str, positive_only: bool = True) -> DataFrame:
     """(qid, doc_id, rel): rows without an integer are dropped, and unless asked otherwise those of 0 and less; the last of duplicates stays."""
-    rows = spark.read.csv(path, header=True, schema="qid string, doc_id string, rel string", enforceSchema=True).withColumn("_at", F.monotonically_increasing_id())
+    rows = _in_order(spark.read.csv(path, header=True, schema="qid string, doc_id string, rel string", enforceSchema=True))
     rows = rows.withColumn("rel", F.expr("try_cast(trim(rel) AS int)")).where("rel is not null and qid is not null and doc_id is not null")
     out = rows.groupBy("qid", "doc_id").agg(F.max_by("rel", "_at").alias("rel"))
     return out.where("rel > 0") if positive_only else out
 
 
+def _in_order(rows: DataFrame) -> DataFrame:
+    """rows with _at, their place: by the name of their file, then by where their block begins, then inside it. Row ids
+    alone would follow the order in which files are dealt to tasks, which goes by size."""
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return rows.withColumn("_at", place)
+
+
 def read_run(spark: SparkSession, path: str) -> DataFrame:
-    """(qid, doc_id, rank): the order of the file is the ranking; repeated documents stay."""
-    rows = spark.read.csv(path, header=True, schema="qid string, doc_id string", enforceSchema=True).withColumn("_at", F.monotonically_increasing_id())
+    """(qid, doc_id, rank): the order of the lines is the ranking, over several files by their names; repeated documents stay."""
+    rows = _in_order(spark.read.csv(path, header=True, schema="qid string, doc_id string", enforceSchema=True))
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("_at"))).select("qid", "doc_id", "rank")
 
 
