@@ -12,6 +12,7 @@ from trawler.functions import text as T
 from trawler.operators import dense, pools, score
 from trawler.operators.index import Index, analyze
 from trawler.operators.match import query_terms
+from trawler.sources import readers
 
 #: Depth of every retriever; field weights and feedback of the second and third one; candidate depths.
 DEPTH = 1000
@@ -203,3 +204,37 @@ class Views:
         """Hybrid features, rounded, of the queries that have judgements."""
         judged = self.qrels.select("qid").distinct()
         return self.features_hybrid.join(judged, "qid", "left_semi").select("qid", "doc_id", "relevance", "is_pool", *X.HYBRID_ORDER)
+
+
+class Files(Views):
+    """The same views over a user's files: a corpus of JSON lines, queries and judgements as CSV, and vectors as
+    `encode` writes them. Without judgements no pair is labelled, as for test queries; without vectors only
+    sparse views are there."""
+
+    def __init__(self, spark: SparkSession, corpus: str, queries: str, qrels: str | None = None, vectors: str | None = None):
+        super().__init__(spark, corpus)
+        self.queries_path, self.qrels_path, self.vectors_path = queries, qrels, vectors
+
+    @cached_property
+    def corpus(self) -> DataFrame:
+        d = readers.read_corpus(self.spark, self.sf_dir)
+        return d.withColumn("doc_id", F.col("id")).withColumn("content", T.full_content(F.col("title"), F.col("text"), F.col("keywords")))
+
+    @cached_property
+    def queries(self) -> DataFrame:
+        bag = T.analyzed(F.col("qtext"))
+        return readers.read_queries(self.spark, self.queries_path).select("qid", "qtext", bag.alias("bag"), F.array_distinct(bag).alias("terms")).persist()
+
+    @cached_property
+    def qrels(self) -> DataFrame:
+        if self.qrels_path is None:
+            return self.spark.createDataFrame([], "qid string, doc_id string, rel int")
+        return readers.read_qrels(self.spark, self.qrels_path)
+
+    @cached_property
+    def dense_docs(self) -> DataFrame:
+        return readers.read_vectors(self.spark, f"{self.vectors_path}/vectors")
+
+    @cached_property
+    def dense_queries(self) -> DataFrame:
+        return readers.read_vectors(self.spark, f"{self.vectors_path}/queries").join(self.queries.select("qid"), "qid", "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,3 +41,14 @@ def write_vectors(vectors: DataFrame, path: str, model: str) -> None:
 
 def write_index_stats(stats: DataFrame, path: str) -> None:
     stats.write.mode("overwrite").json(path)
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a path, in any file system that Spark reads."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+
+
+def write_candidates(run: DataFrame, path: str) -> None:
+    """CSV qid,doc_id,dense_rank,dense_score of a dense run."""
+    run.select("qid", "doc_id", F.col("rank").alias("dense_rank"), F.col("score").alias("dense_score")).write.mode("overwrite").csv(path, header=True)
