@@ -153,9 +153,49 @@ def test_weights_settle_on_separable_rows(n):
     assert np.abs(w).max() < 30 and (n < 100 or ((p >= 0.5) == (y > 0)).all())
 
 
-def test_stems_stand_for_many_forms_only():
+def test_stems_stand_for_many_forms_only(spark):
     counts = [("pathetic", 50, 0), ("path*", 50, 0), ("pathe*", 50, 0), ("lowei*", 60, 0), ("lowe*", 60, 40), ("loweia", 20, 0), ("loweib", 22, 0), ("the", 100, 900)]
-    assert set(toxicity.learn_terms(counts, 100, 900)) == {"pathetic", "lowei*"}
+    evident = toxicity._evident(spark.createDataFrame(counts, "term string, a long, b long"), 100, 900)
+    assert {(t, lead) for t, _, _, lead in evident} == {("pathetic", 0), ("path*", 50), ("pathe*", 50), ("lowei*", 22), ("loweia", 0), ("loweib", 0)}
+    assert set(toxicity.learn_terms(evident, 100, 900)) == {"pathetic", "lowei*"}
+
+
+def plain_score(text, terms, strict, weights):
+    """The score by its definition: every word against every term, every window read anew."""
+    tokens, hits = text.lower().split(), []
+    for i, token in enumerate(tokens):
+        best = None
+        for word in re.findall(r"[^\W_]+", token):
+            near = []
+            for term in terms:
+                if term.endswith("*"):
+                    near += [(0, term[:-1])] if word.startswith(term[:-1]) else []
+                elif (e := edits(word, term)) <= (0 if term in strict else (len(term) >= 5) + (len(term) >= 9)):
+                    near.append((e, term))
+            if near and (best is None or min(near)[0] < best[0]):
+                best = min(near)
+        if best:
+            opened = sum(c in toxicity.QUOTES for t in tokens[max(0, i - 8) : i] for c in t) + (token[0] in toxicity.QUOTES)
+            closed = any(c in toxicity.QUOTES for c in token[1:]) or any(c in toxicity.QUOTES for t in tokens[i + 1 : i + 9] for c in t)
+            said = any(t.strip(".,:;!?\"'“”„«»()") in toxicity.REPORTING for t in tokens[max(0, i - 4) : i])
+            hits.append((best[1], best[0], i, opened % 2 == 1 and closed or said))
+    kinds = [sum(1 for _, e, _, q in hits if (e > 0, q) == kind) for kind in ((False, False), (False, True), (True, False), (True, True))]
+    open_ = [(t, e, i) for t, e, i, q in hits if not q]
+    strongest = max((terms.get(t, terms.get(t + "*", 0)) / (1 + e) for t, e, _ in open_), default=0.0)
+    close = sum(b[2] - a[2] <= 8 for a, b in zip(open_, open_[1:]))
+    x = [*(min(np.log2(1 + n), 3) for n in kinds), strongest / 4, min(np.log2(1 + close), 3)]
+    return 1 / (1 + np.exp(-(weights[0] + np.dot(weights[1:], x))))
+
+
+def test_scores_equal_plain_search(spark):
+    terms = {"worthless": 4.0, "idiot": 3.5, "moron": 3.0, "lowei*": 4.0, "gronk": 5.0}
+    model = toxicity.Model(terms, frozenset({"moron"}))
+    rng = random.Random(12)
+    pool = ["idiot", "idiott", "IDIOT!", '"idiot"', "worthles", "wrthlss", "worthless,", "moron", "morron", "loweikram", "gronk_idiot", "said", "„", '"', "a", "calm", "line", "wrote:", "idio", "gron-k", "é"]
+    texts = ["", " ", *(" ".join(rng.choices(pool, k=rng.randint(1, 30))) for _ in range(250))]
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == pytest.approx(plain_score(text, terms, model.strict, model.weights)), text
 
 
 def test_fit_learns_and_holds_out(spark, odd_docs, no_docs):

@@ -7,7 +7,9 @@ finds the nearest term, misspelled or not. Each hit is scored inside its context
 marks around it or a reporting word near it make it quotation, otherwise it counts as abuse. A
 logistic model over these scores, with prior means, gives the score of a text.
 
-Fitting takes a bounded sample of labelled rows (`sample_rows`); scoring covers every whole text.
+Fitting takes a bounded sample of labelled rows (`sample_rows`), and of it all terms: their counts stay
+in a distributed table, from which only terms that carry the evidence asked for come to the driver, so
+there is no cap on candidates or on the lexicon. Scoring covers every whole text.
 
 Defined results: null and empty texts get the score of a text without hits; equal texts get equal
 scores; extra columns are ignored; an empty table gives an empty table; without labelled rows of
@@ -36,8 +38,9 @@ REPORTING = frozenset("said says say called calls wrote writes quoted quote quot
 #: Tokens on either side of a hit that make its context; lengths from which one or two edits are let pass.
 WINDOW, ONE_EDIT, TWO_EDITS = 8, 5, 9
 
-#: Stem lengths that the lexicon may hold, its size, the likelihood ratio a term must reach.
-STEMS, MOST_TERMS, EVIDENCE = (4, 5, 6, 7), 1000, 18.0
+#: Stem lengths that the lexicon may hold, the likelihood ratio and log odds that a term must reach, and the share of
+#: its texts that must be toxic.
+STEMS, EVIDENCE, ODDS, SHARE = (4, 5, 6, 7), 18.0, 2.0, 0.8
 
 #: States that a worker's automaton remembers before it starts afresh.
 MOST_STATES = 50_000
@@ -215,25 +218,20 @@ def _terms_of(text: str) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
 
 
-def learn_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
-    """The lexicon from (term, toxic texts, other texts) counts: terms whose likelihood ratio reaches
-    EVIDENCE and a quarter of the best one's. A stem is kept only where no single word makes up most of its texts, and replaces the
-    words and longer stems that start with it."""
+def learn_terms(counts: list[tuple[str, int, int, int]], toxic: int, clean: int) -> dict[str, float]:
+    """The lexicon from (term, toxic texts, other texts, lead) counts: terms whose likelihood ratio reaches
+    EVIDENCE and a quarter of the best one's. lead is, for a stem, the most toxic texts that any one word with it
+    has: a stem is kept only where no single word makes up most of its texts, and replaces the words and
+    longer stems that start with it."""
     rate = toxic / (toxic + clean)
-    leading: dict[str, int] = {}
-    for term, a, _ in counts:
-        if not term.endswith("*"):
-            for n in STEMS:
-                if len(term) > n:
-                    leading[term[:n] + "*"] = max(leading.get(term[:n] + "*", 0), a)
     scored = []
-    for term, a, b in counts:
+    for term, a, b, lead in counts:
         p = a / (a + b)
-        if p <= rate or leading.get(term, 0) > 0.7 * a:
+        if p <= rate or lead > 0.7 * a:
             continue
         g = 2 * (a * np.log(p / rate) + (b * np.log((1 - p) / (1 - rate)) if b else 0))
         odds = float(np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (clean + 1)))
-        if g >= EVIDENCE and odds >= 2.0 and p >= 0.8:
+        if g >= EVIDENCE and odds >= ODDS and p >= SHARE:
             scored.append((-round(float(g), 6), term.endswith("*"), -len(term), term, odds))
     out: dict[str, float] = {}
     for g, *_, term, odds in sorted(scored):
@@ -242,11 +240,20 @@ def learn_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> d
         bare = term.rstrip("*")
         if not any(bare[:n] + "*" in out for n in STEMS if n <= len(bare)):
             out[term] = odds
-            if len(out) >= MOST_TERMS:
-                break
     return out
 
 
+def _evident(found: DataFrame, toxic: int, clean: int) -> list[tuple[str, int, int, int]]:
+    """(term, toxic texts, other texts, lead) of the terms of (term, a, b) that carry the evidence: few, however many terms there are."""
+    rate = toxic / (toxic + clean)
+    stems = F.transform(F.filter(F.array(*map(F.lit, STEMS)), lambda n: F.length("term") > n), lambda n: F.concat(F.substring("term", F.lit(1), n), F.lit("*")))
+    lead = found.where(~F.endswith("term", F.lit("*"))).select(F.explode(stems).alias("term"), "a").groupBy("term").agg(F.max("a").alias("lead"))
+    p = F.col("a") / (F.col("a") + F.col("b"))
+    g = 2 * (F.col("a") * F.log(p / rate) + F.when(F.col("b") > 0, F.col("b") * F.log((1 - p) / (1 - rate))).otherwise(0.0))
+    rows = found.where("term <> ''").where((p >= SHARE) & (p > rate) & (g >= EVIDENCE - 1e-6)).join(lead, "term", "left")
+    return [tuple(r) for r in rows.select("term", "a", "b", F.coalesce("lead", F.lit(0))).collect()]
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -290,10 +297,8 @@ def fit(
     # words that merely keep company with a term in copies of a text gather no evidence of their own
     terms: dict[str, float] = {}
     found, left = likely, toxic
-    while left and len(terms) < MOST_TERMS:
-        # bounded by the terms of a bounded sample
-        rows = found.where("term <> ''").orderBy(F.desc("a"), "term").limit(200 * MOST_TERMS).collect()
-        new = {t: o for t, o in learn_terms([(r.term, r.a, r.b) for r in rows], left, clean).items() if t not in terms}
+    while left:
+        new = {t: o for t, o in learn_terms(_evident(found, left, clean), left, clean).items() if t not in terms}
         if not new:
             break
         terms |= new
