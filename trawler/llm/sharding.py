@@ -4,9 +4,10 @@ Rows with equal texts form groups that must stay together. Groups are taken by f
 goes to the shard with the least load, found through a heap. The heap runs over size classes, not
 over groups: a class says how many groups of one size there are, and groups of a class are equal to
 the schedule, so the heap hands out their number and a distributed ranking inside the class decides
-which group is which. Sizes up to 2**14 bytes are classes of their own; larger ones keep 14 leading
-bits and count with their mean, so classes are at most 2**14 + 2**13 for every further binary order
-of magnitude, however many groups there are: that bounds what the driver sees and what is broadcast.
+which group is which. Sizes up to 2**11 bytes are classes of their own; larger ones keep 11 leading
+bits and count with their mean, so classes are at most 2**11 + 2**10 for every further binary order
+of magnitude (55,000 for sizes up to 2**62), however many groups there are. That bounds what the driver
+sees and what is broadcast: one row for each class, with at most one range of ranks for each shard.
 
 Law `bytes`: the shards' sizes are near equal. A group larger than a shard's fair share cannot stay
 together under that law; it alone is cut into pieces of about an eighth of a share.
@@ -27,7 +28,7 @@ from trawler.llm.common import columns
 from trawler.session import Scratch
 
 #: Leading bits of a size that make its class; rows ranked together by one task.
-CLASS_BITS, RANK_ROWS = 14, 1024
+CLASS_BITS, RANK_ROWS = 11, 1024
 
 #: Bytes that a row weighs besides its text.
 ROW_BYTES = 8
@@ -94,14 +95,20 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     # only groups above a fair share are cut: fewer than there are shards
     large = rows.groupBy("same").agg(F.sum("size").alias("all")).where(F.col("all") > share)
     large = large.select("same", F.ceil(F.col("all") / (share / 8)).cast("long").alias("pieces"))
+    # fewer rows than there are shards
     cut = rows.join(F.broadcast(large), "same", "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit("piece")), "pieces"), F.lit(0).cast("long"))).drop("pieces")
     groups = cut.groupBy("same", "piece").agg(F.sum("size").alias("bytes"))
     low = F.greatest(F.ceil(F.log2(F.col("bytes") + 1)).cast("int") - CLASS_BITS, F.lit(0))
     groups = scratch.keep(groups.withColumn("low", low).selectExpr("same", "piece", "bytes", "shiftleft(shiftright(bytes, low), low) AS class"))
     classes = [tuple(r) for r in groups.groupBy("class").agg(F.count("*"), F.sum("bytes")).collect()]
-    dealt = spark.createDataFrame(schedule(classes, shards), "class long, shard int, first long, last long")
+    ranges: dict[int, list[tuple[int, int, int]]] = {}
+    for key, shard, first, last in schedule(classes, shards):
+        ranges.setdefault(key, []).append((shard, first, last))
+    dealt = spark.createDataFrame(sorted(ranges.items()), "class long, ranges array<struct<shard: int, first: long, last: long>>")
     ranked = _ranked(groups.select("same", "piece", "class"), ["class"], ["same", "piece"], scratch)
-    placed = ranked.join(F.broadcast(dealt), (ranked["class"] == dealt["class"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
+    # bounded by the number of classes times that of shards
+    of = F.filter("ranges", lambda r: (F.col("rank") >= r["first"]) & (F.col("rank") < r["last"]))
+    placed = ranked.join(F.broadcast(dealt), "class").select("same", "piece", F.get(of, F.lit(0))["shard"].alias("shard"))
     with_shard = cut.join(placed.select("same", "piece", "shard"), ["same", "piece"]).select("doc_id", "size", "text_crc32", "shard")
     out = _ranked(with_shard, ["shard"], ["doc_id", "text_crc32"], scratch)
     return out.select("doc_id", "size", "text_crc32", "shard", F.col("rank").cast("long").alias("slot"))
