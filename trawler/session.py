@@ -65,12 +65,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Intermediate tables in the shared folder, which cut lineage and outlive lost executors."""
+    """Intermediate tables in the shared folder, which cut lineage and outlive lost executors; they go when the driver ends."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.base = f"{shared_folder(spark)}/trawler/{label}-{uuid.uuid4().hex}"
         self.count = 0
+        target, files = self._place(self.base)
+        files.deleteOnExit(target)
+
+    def _place(self, path: str):
+        """A Hadoop path and its file system."""
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return target, target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def keep(self, frame: DataFrame) -> DataFrame:
         """Write frame as Parquet and return it reread; the table's path is in .last."""
@@ -81,6 +88,5 @@ class Scratch:
 
     def drop(self, path: str) -> None:
         """Delete one table that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        target, files = self._place(path)
+        files.delete(target, True)
