@@ -126,42 +126,51 @@ def train(x: np.ndarray, rel: np.ndarray, qid: np.ndarray, features: list[str],
 
 
 def _tree(binned, edges, g, h, rows, used, p, gains) -> dict[str, np.ndarray] | None:
-    """The tree that splits its best leaf again and again."""
+    """The tree that splits its best leaf again and again. Only the smaller part of a split is counted; the larger
+    one has what is left of its parent's histogram, and both are searched in one step."""
     width, l2 = binned.shape[1], p["lambda_l2"] + 1e-9
+    size, least = width * BINS, p["min_data_in_leaf"]
 
-    def split(at: np.ndarray, depth: int):
-        if len(at) < 2 * p["min_data_in_leaf"] or 0 < p["max_depth"] <= depth:
-            return None
+    def histogram(at: np.ndarray) -> np.ndarray:
         flat = binned[at].ravel()
-        size = width * BINS
-        count = np.bincount(flat, minlength=size).reshape(width, BINS).cumsum(1)
-        gs = np.bincount(flat, np.repeat(g[at], width), size).reshape(width, BINS).cumsum(1)
-        hs = np.bincount(flat, np.repeat(h[at], width), size).reshape(width, BINS).cumsum(1)
-        total_g, total_h = gs[:, -1:], hs[:, -1:]
+        parts = (np.bincount(flat, minlength=size), np.bincount(flat, np.repeat(g[at], width), size), np.bincount(flat, np.repeat(h[at], width), size))
+        return np.stack(parts).astype(float).reshape(3, width, BINS)
+
+    def splits(parts: list[tuple[np.ndarray, np.ndarray]], depth: int) -> list:
+        """(gain, feature, bin, rows, histogram) for each (rows, histogram), None where nothing is gained."""
+        if 0 < p["max_depth"] <= depth or all(len(at) < 2 * least for at, _ in parts):
+            return [None] * len(parts)
+        sums = np.stack([held for _, held in parts]).cumsum(-1)
+        count, gs, hs = sums[:, 0], sums[:, 1], sums[:, 2]
+        n, total_g, total_h = count[..., -1:], gs[..., -1:], hs[..., -1:]
         gain = gs**2 / (hs + l2) + (total_g - gs) ** 2 / (total_h - hs + l2) - total_g**2 / (total_h + l2)
-        fit = (count >= p["min_data_in_leaf"]) & (len(at) - count >= p["min_data_in_leaf"]) & used[:, None]
-        gain = np.where(fit, gain, -1.0)
-        j, b = np.unravel_index(int(gain.argmax()), gain.shape)
-        if gain[j, b] <= 1e-12 or b >= len(edges[j]):
-            return None
-        left = binned[at, j] <= b + j * BINS
-        return float(gain[j, b]), int(j), float(edges[j][b]), at[left], at[~left]
+        gain[~((count >= least) & (n - count >= least) & used[:, None])] = -1.0
+        out = []
+        for k, best in enumerate(gain.reshape(len(parts), -1).argmax(1).tolist()):
+            j, b = divmod(best, BINS)
+            fine = gain[k, j, b] > 1e-12 and b < len(edges[j])
+            out.append((float(gain[k, j, b]), j, b, *parts[k]) if fine else None)
+        return out
 
     value = lambda at: p["learning_rate"] * g[at].sum() / (h[at].sum() + l2)
     nodes = [[-1, 0.0, -1, -1, value(rows), 0.0]]
-    open_ = {0: (split(rows, 0), 0)}
+    open_ = {0: (splits([(rows, histogram(rows))], 0)[0], 0)}
     leaves = 1
     while leaves < p["num_leaves"]:
         able = {i: s for i, s in open_.items() if s[0]}
         if not able:
             break
         i = max(able, key=lambda i: (able[i][0][0], -i))
-        (gain, j, threshold, left, right), depth = open_.pop(i)
+        (gain, j, b, at, held), depth = open_.pop(i)
+        low = binned[at, j] <= b + j * BINS
+        left, right = at[low], at[~low]
+        small = histogram(min(left, right, key=len))
+        pair = (small, held - small) if len(left) <= len(right) else (held - small, small)
         gains[j] += gain
-        nodes[i][:4] = j, threshold, len(nodes), len(nodes) + 1
+        nodes[i][:4] = j, float(edges[j][b]), len(nodes), len(nodes) + 1
         nodes[i][5] = gain
-        for part in (left, right):
-            open_[len(nodes)] = (split(part, depth + 1), depth + 1)
+        for part, found in zip((left, right), splits(list(zip((left, right), pair, strict=True)), depth + 1), strict=True):
+            open_[len(nodes)] = (found, depth + 1)
             nodes.append([-1, 0.0, -1, -1, value(part), 0.0])
         leaves += 1
     if leaves == 1:
