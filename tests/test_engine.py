@@ -185,6 +185,12 @@ def test_treebank_and_stems(spark):
     assert {(r.term, r.tf) for r in stems.postings.collect()} == {("run", 3)}
 
 
+def test_whole_chain(spark):
+    rows = spark.createDataFrame([(0, "The runners don't run; running in 2024, hopefully."), (1, None), (2, "the of 12")], "doc_id long, text string")
+    terms = T.stemmed(rows.select("doc_id", T.analyzed(F.col("text"), T.treebank_tokens).alias("terms")))
+    assert {r.doc_id: r.terms for r in terms.collect()} == {0: ["runner", "run", "run", "hope"], 1: [], 2: []}
+
+
 def test_dense_search(spark, monkeypatch):
     monkeypatch.setattr(dense, "BLOCK_QUERIES", 2)
     rng = np.random.default_rng(0)

@@ -28,6 +28,6 @@ def test_query_equals_sql(spark, db, name):
         assert ((got[c] == want[c]) | (got[c].isna() & want[c].isna())).all(), c
 
 
-@pytest.mark.parametrize("name", ["tokenize_treebank", "stem_terms", "random_negatives", "feature_columns", "train_val_split", "cv_folds"])
+@pytest.mark.parametrize("name", ["analyze_docs_stemmed", "tokenize_treebank", "stem_terms", "random_negatives", "feature_columns", "train_val_split", "cv_folds"])
 def test_rows_only_queries_run(spark, name):
     assert QUERIES[name](spark, SF).count() > 0

@@ -147,6 +147,13 @@ def analyze_docs(v: Views) -> DataFrame:
     return v.analyzed.select("doc_id", F.size("terms").cast("long").alias("n_terms"), F.sha2(F.array_join("terms", " "), 256).alias("terms_sha256"))
 
 
+@query
+def analyze_docs_stemmed(v: Views) -> DataFrame:
+    """The whole chain: Treebank tokens, no stopwords, lengths and numbers checked, stemmed."""
+    terms = v.corpus.select("doc_id", T.analyzed(F.col("content"), T.treebank_tokens).alias("terms"))
+    return T.stemmed(terms).select("doc_id", F.size("terms").alias("n_terms"), joined("terms"))
+
+
 @query
 def analyze_queries(v: Views) -> DataFrame:
     return v.queries.select("qid", "qtext", joined("terms"))

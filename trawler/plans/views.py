@@ -79,7 +79,7 @@ class Views:
         """(qid, doc_id, rel): documents that hold an item's text, 2 where labelled as good, else 1.
 
         Only documents that hold an item's longest inner word are searched for its text; items of
-        fewer than three words have none and are searched for everywhere."""
+        fewer than three words, if there are any, have none and are searched for everywhere."""
         item = self.table("benchmark").where("text is not null").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
         words = F.split("passage", r"\s+")
         inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
@@ -87,8 +87,11 @@ class Views:
         keyed = item.withColumn("word", F.when(F.size(inner) > 0, longest))
         docs = self.table("documents").where("text is not null").select("doc_id", "text")
         met = docs.withColumn("word", F.explode(F.array_distinct(F.split("text", r"\s+")))).join(keyed.where("word is not null"), "word")
-        short = docs.join(keyed.where("word is null"), F.contains("text", "passage")).select("qid", "doc_id")
-        found = met.where(F.contains("text", "passage")).select("qid", "doc_id").union(short).distinct()
+        found = met.where(F.contains("text", "passage")).select("qid", "doc_id")
+        short = keyed.where("word is null")
+        if not short.isEmpty():
+            found = found.union(docs.join(short, F.contains("text", "passage")).select("qid", "doc_id"))
+        found = found.distinct()
         good = self.table("labels").where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
         return found.join(good, "doc_id", "left").select("qid", "doc_id", F.when(F.col("good"), 2).otherwise(1).alias("rel")).persist()
 
@@ -135,11 +138,10 @@ class Views:
     def dense(self) -> DataFrame:
         return dense.dense_topk(self.dense_queries, self.dense_docs, POOL_DENSE).persist()
 
-    @cached_property
-    def doc_fields(self) -> DataFrame:
-        """What content features read of a document."""
+    def doc_fields(self, ids: DataFrame) -> DataFrame:
+        """What content features read of the wanted documents; no other text is taken apart."""
         words = F.concat_ws(" ", "title", "text", F.concat_ws(" ", "keywords"))
-        return self.corpus.select(
+        return self.corpus.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(
             "doc_id", F.col("title").alias("title_text"), T.whitespace_tokens(F.col("title")).alias("title"), F.lower(F.concat_ws(" ", "keywords")).alias("kw"),
             F.size(T.whitespace_tokens(F.col("text"))).cast("double").alias("doc_len"), F.array_distinct(T.whitespace_tokens(words)).alias("words"),
         )
@@ -162,7 +164,7 @@ class Views:
         q = self.queries.select("qid", T.whitespace_tokens(F.col("qtext")).alias("q"))
         none = F.array().cast("array<string>")
         mean_df = score.query_mean_df(self.queries.select("qid", F.col("bag").alias("terms")), self.weighted.lexicon)
-        out = cands.join(q, "qid").join(mean_df, "qid").join(self.doc_fields, "doc_id", "left")
+        out = cands.join(q, "qid").join(mean_df, "qid").join(self.doc_fields(cands), "doc_id", "left")
         out = out.withColumns({"title": F.coalesce("title", none), "words": F.coalesce("words", none), "kw": F.coalesce("kw", F.lit("")), "title_text": F.coalesce("title_text", F.lit(""))})
         cols: dict[str, Column] = {
             "f_query_length": F.size("q").cast("double"), "f_mean_df": F.col("mean_df"), "f_doc_length": F.coalesce("doc_len", F.lit(0.0)),
