@@ -507,16 +507,22 @@ def ltr_importance(v: Views) -> DataFrame:
     return ltr.importance(_stopped(v), ltr.feature_columns(v.training)).orderBy(F.desc("gain"), "feature")
 
 
+def _ensemble(v: Views) -> DataFrame:
+    """The stored ensemble, trained once for a folder of tables."""
+    if "stored_ensemble" not in vars(v):
+        v.stored_ensemble = Scratch(v.spark, "model").keep(ltr.train_models(v.training, ltr.SEEDS))
+    return v.stored_ensemble
+
+
 @query
 def ltr_ensemble(v: Views) -> DataFrame:
-    nodes = ltr.train_models(v.training, ltr.SEEDS)
+    nodes = _ensemble(v)
     return nodes.groupBy("seed").agg(F.countDistinct("tree_id").alias("trees"), F.count("*").alias("nodes"))
 
 
 @query
 def ltr_predict(v: Views) -> DataFrame:
-    nodes = ltr.train_models(v.training, ltr.SEEDS)
-    ranked = ltr.predict(v.training.where("is_pool = 1"), nodes)
+    ranked = ltr.predict(v.training.where("is_pool = 1"), _ensemble(v))
     return topk.rerank(ranked, 100).select("qid", "doc_id", r6("prediction"), "rank")
 
 
