@@ -69,17 +69,19 @@ def test_search_and_comparison_train_what_their_rows_say(spark, monkeypatch):
     assert sorted({(n, p["num_rounds"], len(s)) for _, c, s in calls for n, p in c.items()}) == [("baseline", 150, 1), ("ensemble", 400, 6), ("single", 400, 1)]
 
 
-def test_tree_equals_plain_search():
+@pytest.mark.parametrize("l1", [0.0, 2.0])
+def test_tree_equals_plain_search(l1):
     """Every split is the best one over all values of all features, by the gain as it is defined."""
+    shrunk = lambda at: np.sign(g[at].sum()) * max(abs(g[at].sum()) - l1, 0)
     rng = np.random.default_rng(4)
-    n, p = 300, ltr.PARAMS | {"min_data_in_leaf": 15, "num_leaves": 9, "max_depth": 4, "lambda_l2": 0.5}
+    n, p = 300, ltr.PARAMS | {"min_data_in_leaf": 15, "num_leaves": 9, "max_depth": 4, "lambda_l2": 0.5, "lambda_l1": l1}
     x = np.round(rng.random((n, 3)), 1)
     g, h = rng.normal(size=n) + (x[:, 1] > 0.5), rng.random(n) + 0.1
     edges = [np.unique(x[:, j])[:-1] for j in range(3)]
     binned = np.stack([np.searchsorted(edges[j], x[:, j], "left") for j in range(3)], 1) + np.arange(3) * ltr.BINS
     gains = np.zeros(3)
     tree = ltr._tree(binned, edges, g, h, np.arange(n), np.ones(3, bool), p, gains)
-    weigh = lambda at: g[at].sum() ** 2 / (h[at].sum() + 0.5 + 1e-9)
+    weigh = lambda at: shrunk(at) ** 2 / (h[at].sum() + 0.5 + 1e-9)
 
     def best(at):
         found = [(weigh(at[x[at, j] <= t]) + weigh(at[x[at, j] > t]) - weigh(at), j, t) for j in range(3) for t in edges[j] if min((x[at, j] <= t).sum(), (x[at, j] > t).sum()) >= 15]
@@ -88,7 +90,7 @@ def test_tree_equals_plain_search():
     seen, total, leaves = {0: (np.arange(n), 0)}, np.zeros(3), 0
     for i in range(len(tree["value"])):
         at, depth = seen[i]
-        assert tree["value"][i] == pytest.approx(p["learning_rate"] * g[at].sum() / (h[at].sum() + 0.5))
+        assert tree["value"][i] == pytest.approx(p["learning_rate"] * shrunk(at) / (h[at].sum() + 0.5))
         if tree["left"][i] < 0:
             leaves += 1
             continue
