@@ -17,7 +17,7 @@ from trawler.functions.features import dot
 from trawler.operators.topk import top_k
 
 #: Vectors that a task holds at once, and queries scored against them at once.
-SHARD_ROWS, BLOCK_QUERIES = 8192, 1024
+SHARD_ROWS, BLOCK_QUERIES = 8192, 256
 
 
 def dense_sim(pairs: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
