@@ -183,7 +183,7 @@ class Views:
         return out.withColumn("f_dense_rrank", F.coalesce("f_dense_rrank", F.lit(0.0)))
 
     def candidates(self, *pool: DataFrame, positives: bool = True) -> DataFrame:
-        return pools.with_labels(pools.union(*pool), self.qrels, positives)
+        return pools.with_labels(pools.union(*pool), self.qrels, positives).persist()
 
     @cached_property
     def cands_v4(self) -> DataFrame:
