@@ -260,12 +260,53 @@ def test_field_adds_spans_and_spares_clean_text(spark, crf, odd_docs, no_docs):
     held_out = secrets.generated(200, seed=99)
     right = total = 0
     for toks, tags, file in held_out:
-        of, parts = crf.parts(toks)
-        got = crf.tag(crf.emissions(parts, of, file), np.arange(len(toks)) == 0).tolist()
+        shapes = secrets.Shapes()
+        of = shapes.of(toks)
+        got = crf.tag(crf.emissions(crf.parts(shapes), of, file), np.arange(len(toks)) == 0).tolist()
         right += got == tags
         total += 1
     assert right / total > 0.9
 
 
+def planted_secrets(rng):
+    """What no base pattern meets, behind what may stand before it: (lead, secret)."""
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    run = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    return rng.choice([
+        ("Authorization: Bearer ", run(alnum, 32)), ("", "ghp_" + run(alnum, 36)), ("key ", "sk-" + run(alnum, 40)), ("", "xoxb-" + run("0123456789", 11) + "-" + run(alnum, 24)),
+        ("jwt ", "eyJ" + run(alnum, 24) + "." + run(alnum, 48) + "." + run(alnum, 36)), ("", "AIza" + run(alnum, 35)), ("aws_secret_access_key = ", run(alnum + "/+", 40)), ("", "pk_live_" + run(alnum, 24)),
+    ])
+
+
+def test_planted_secrets_in_real_documents(spark, sample):
+    """The fitted field finds secrets without a base pattern in whole documents, and adds nothing to the documents as they are."""
+    frame, rows = sample
+    field = secrets.fit(frame)
+    rng = random.Random(11)
+    planted, want = [], []
+    for i, text, _ in rows:
+        words = (text or "").split(" ")
+        at = rng.randint(0, len(words))
+        lead, secret = planted_secrets(rng)
+        before = " ".join([*words[:at], lead]) if at else lead
+        planted.append((i, f"{before}{secret} " + " ".join(words[at:])))
+        want.append((len(before), len(before) + len(secret)))
+    found = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(planted, "doc_id long, text string"), field).collect()}
+    hit = [any(s.start < b and a < s.end for s in found[i]) for (i, _), (a, b) in zip(planted, want, strict=True)]
+    assert sum(hit) >= 0.9 * len(hit)
+    clean = [s for r in secrets.scan(frame, field).collect() for s in r.spans if s.kind == "crf"]
+    assert len(clean) <= 0.01 * len(rows)
+
+
+def test_memo_of_shapes_changes_nothing(crf, monkeypatch):
+    texts = ["see token = abc123def456 now", "Bearer aB3" + "dE4f" * 8, "", "a b c", "x" * 50]
+    alone = [secrets.find([t], crf)[0] for t in texts]
+    monkeypatch.setattr(secrets, "MEMO_TOKENS", 2)
+    shapes = secrets.Shapes()
+    assert [secrets.find([t], crf, shapes)[0] for t in texts * 2] == alone * 2 and secrets.find(texts, crf) == alone
+    long = " ".join(f"w{i}" for i in range(2000))
+    assert [t for part in secrets._tokens(long, 100) for t in part] == secrets._TOKEN.findall(long)
+
+
 def test_words_of_patterns_are_ascii_only():
     assert not re.search(secrets.ASSIGN, "ſecret=abcdefghij")

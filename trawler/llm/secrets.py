@@ -20,7 +20,7 @@ import math
 import random
 import re
 from bisect import bisect_left
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -139,6 +139,26 @@ def file_features(text: str) -> np.ndarray:
     return np.array([text != "" and 40 * sum(map(text.count, _CODE)) >= len(text), bool(_NAMES.search(text.lower()))], float)
 
 
+#: Tokens whose shapes a worker remembers.
+MEMO_TOKENS = 1 << 17
+
+
+class Shapes(dict):
+    """The number of each token's shape, found out once for each token."""
+
+    def __init__(self):
+        super().__init__()
+        self.number: dict[tuple, int] = {}
+
+    def __missing__(self, token: str) -> int:
+        key = tuple(shape(token))
+        self[token] = out = self.number.setdefault(key, len(self.number))
+        return out
+
+    def of(self, tokens: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, tokens), np.int32, len(tokens))
+
+
 @dataclass
 class Field:
     """weights: (spots * features + file features + bias, 3); moves: (3, 3); start: (3,)."""
@@ -147,14 +167,11 @@ class Field:
     moves: np.ndarray
     start: np.ndarray
 
-    def parts(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The shape number of each token, and what each shape gives to the scores of its own place and its neighbours': (shapes, spots, 3)."""
+    def parts(self, shapes: Shapes) -> np.ndarray:
+        """What each shape gives to the scores of its own place and its neighbours': (shapes, spots, 3)."""
         k = len(_FEATURES)
         by_spot = self.weights[: len(_SPOTS) * k].reshape(len(_SPOTS), k, 3)
-        number: defaultdict[tuple, int] = defaultdict()
-        number.default_factory = number.__len__
-        of = np.fromiter((number[tuple(shape(t))] for t in tokens), np.int64, len(tokens))
-        return of, np.array([by_spot[:, list(key)].sum(1) for key in number]).reshape(-1, len(_SPOTS), 3)
+        return np.array([by_spot[:, list(key)].sum(1) for key in shapes.number]).reshape(-1, len(_SPOTS), 3)
 
     def emissions(self, parts: np.ndarray, at: np.ndarray, file: np.ndarray) -> np.ndarray:
         """Scores (n, 3) of the tokens of one text, given by their shapes."""
@@ -406,13 +423,14 @@ def _tokens(text: str, limit: int = 1 << 20) -> Iterator[list[str]]:
     yield _TOKEN.findall(text, at)
 
 
-def find(texts: list[str], field: Field) -> list[list[tuple[str, int, int]]]:
+def find(texts: list[str], field: Field, shapes: Shapes | None = None) -> list[list[tuple[str, int, int]]]:
     """(kind, start, end) of all secrets of every text: the base spans, and what the field adds beside them."""
-    seen: defaultdict[str, int] = defaultdict()
-    seen.default_factory = seen.__len__
-    used = [np.concatenate([np.fromiter(map(seen.__getitem__, part), np.int32, len(part)) for part in _tokens(text)]) for text in texts]
-    of, parts = field.parts(list(seen))
-    scores = [field.emissions(parts, of[at], file_features(text)) for at, text in zip(used, texts, strict=True)]
+    shapes = Shapes() if shapes is None else shapes
+    used = [np.concatenate([shapes.of(part) for part in _tokens(text)]) for text in texts]
+    parts = field.parts(shapes)
+    scores = [field.emissions(parts, at, file_features(text)) for at, text in zip(used, texts, strict=True)]
+    if len(shapes) > MEMO_TOKENS:
+        shapes.clear()
     sizes = np.array([len(s) for s in scores])
     bounds = np.append(0, np.cumsum(sizes))
     first = np.zeros(bounds[-1] + 1, bool)
@@ -442,8 +460,9 @@ def scan(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes = Shapes()
         for keys, texts in slices(batches):
-            found = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in of] for of in find(texts, field)]
+            found = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in of] for of in find(texts, field, shapes)]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, kind)], ["doc_id", "spans"])
 
     return columns(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
