@@ -39,8 +39,9 @@ from trawler.session import Scratch
 #: Members of one BK-tree, and members of a node that it holds as a plain list.
 TREE, LEAF = 4096, 8
 
-#: For near copies: words of a shingle, likeness (a fraction), 64-bit words of a fingerprint, radius, chance of a miss, members of a tree.
-WORDS, LIKENESS, WIDTH, RADIUS, MISS, WIDE_TREE = 5, (4, 5), 4, 62, 1e-3, 2048
+#: For near copies: words of a shingle, likeness (a fraction), 64-bit words of a fingerprint, radius, chance of a miss, members of a tree
+#: and of its leaves. At that radius an edge can be left out only in clusters, so leaves are larger and compared as blocks.
+WORDS, LIKENESS, WIDTH, RADIUS, MISS, WIDE_TREE, WIDE_LEAF = 5, (4, 5), 4, 62, 1e-3, 2048, 128
 
 #: Words whose hashes are held at once inside a Python worker.
 MEMO = 1 << 17
@@ -121,7 +122,7 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def connect(fps: np.ndarray, radius: int, links: Links, own: int | None = None) -> int:
+def connect(fps: np.ndarray, radius: int, links: Links, own: int | None = None, leaf: int = LEAF) -> int:
     """Join all pairs within the radius of which one at least is among the first own fingerprints (all by
     default): those make the BK-tree, and all descend it while it is built. Returns its depth.
 
@@ -141,12 +142,12 @@ def connect(fps: np.ndarray, radius: int, links: Links, own: int | None = None)
             if (roots == roots[0]).all() and (links.root(guests) == roots[0]).all():
                 continue
         deepest = max(deepest, depth)
-        if len(members) <= LEAF:
+        if len(members) <= leaf:
             mine = fps[:, members][:, :, None]
             a, b = np.nonzero(np.triu(distance(mine, mine.transpose(0, 2, 1)) <= radius, 1))
             links.join(members[a], members[b])
-            for at in range(0, len(guests), 1 << 16):
-                g = guests[at : at + (1 << 16)]
+            for at in range(0, len(guests), 1 << 13):
+                g = guests[at : at + (1 << 13)]
                 a, b = np.nonzero(distance(mine, fps[:, g][:, None]) <= radius)
                 links.join(members[a], g[b])
             continue
@@ -189,12 +190,12 @@ def _trees(batches: Iterator[pa.RecordBatch], place: tuple[str, ...]) -> Iterato
         yield from cut(pa.Table.from_batches(held))
 
 
-def _connected(tree: pa.Table, words: list[str], node: str, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _connected(tree: pa.Table, words: list[str], node: str, radius: int, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
     """The nodes of a tree and its guests, and the place of each one's root among them."""
     n = tree.num_rows
     links = Links(n)
     if n > 1:
-        connect(np.array([tree[w].to_numpy().view(np.uint64) for w in words]), radius, links, n - int(tree["guest"].to_numpy().sum()))
+        connect(np.array([tree[w].to_numpy().view(np.uint64) for w in words]), radius, links, n - int(tree["guest"].to_numpy().sum()), leaf)
     return tree[node].to_numpy(), links.root(np.arange(n))
 
 
@@ -207,12 +208,15 @@ def _spanning(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array(rep[child]), pa.array(rep[root[child]])], ["u", "v"])
 
 
-def in_trees(dealt: DataFrame, place: list[str], member: str, tree: int = TREE) -> DataFrame:
-    """dealt with chunk and guest: each row as a member of one tree of its shard, and as a guest of all trees before it."""
+def in_trees(dealt: DataFrame, place: list[str], member: str, scratch: Scratch, tree: int = TREE) -> DataFrame:
+    """dealt with chunk and guest: each row as a member of one tree of its shard, and as a guest of all trees before it.
+
+    The hot shards, few as a rule, are a written table, so its size is known before the join is planned and dealt
+    is not shuffled for it where it is small."""
     hot = dealt.groupBy(*place).agg(F.count("*").alias("_n")).where(F.col("_n") > 2 * tree)
     hot = hot.select(*place, F.ceil(F.col("_n") / tree).cast("int").alias("_trees"))
     own = F.coalesce(F.pmod(F.xxhash64(member, F.lit("tree")), "_trees"), F.lit(0)).cast("int")
-    rows = dealt.join(hot, place, "left").withColumn("_own", own)
+    rows = dealt.join(scratch.keep(hot), place, "left").withColumn("_own", own)
     return rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("_own")))).withColumn("guest", F.col("chunk") < F.col("_own")).drop("_own", "_trees")
 
 
@@ -239,7 +243,7 @@ def near_duplicates(
         )
     )
     dealt = distinct.select(F.explode(shards).alias("s"), "fp", "rep").select("s.kind", "s.key", "fp", "rep")
-    dealt = in_trees(dealt, ["kind", "key"], "fp").select("kind", "key", "chunk", "guest", "fp", "rep")
+    dealt = in_trees(dealt, ["kind", "key"], "fp", scratch).select("kind", "key", "chunk", "guest", "fp", "rep")
     tasks = max(8, ceil(n * len(kinds) / 50_000))
     links = dealt.repartition(tasks, "kind", "key", "chunk").sortWithinPartitions("kind", "key", "chunk", "guest", "rep")
     links = links.mapInArrow(lambda b: _spanning(b, radius), "u long, v long")
@@ -328,7 +332,7 @@ def _sampled(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(group, leader, twin) of all that a tree connects to another one; the leader is the group's smallest member."""
     for tree in _trees(batches, ("key", "chunk")):
-        twin, root = _connected(tree, _WIDE, "twin", RADIUS)
+        twin, root = _connected(tree, _WIDE, "twin", RADIUS, WIDE_LEAF)
         size = np.bincount(root, minlength=len(twin))
         at = np.flatnonzero(size[root] > 1)
         if not len(at):
@@ -433,7 +437,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = distinct.count()
     bits = max(0, ceil(log2(max(n, 1) / WIDE_TREE)))
     keyed = scratch.keep(distinct.select("twin", *_WIDE).mapInArrow(lambda b: _sampled(b, bits), f"key long, twin long, {longs}"))
-    dealt = in_trees(keyed, ["key"], "twin", WIDE_TREE).select("key", "chunk", "guest", "twin", *_WIDE)
+    dealt = in_trees(keyed, ["key"], "twin", scratch, WIDE_TREE).select("key", "chunk", "guest", "twin", *_WIDE)
     tasks = max(8, ceil(n * samples(bits) / 50_000))
     groups = dealt.repartition(tasks, "key", "chunk").sortWithinPartitions("key", "chunk", "guest", "twin").mapInArrow(_groups, "group long, leader long, twin long")
     groups = scratch.keep(groups)
@@ -450,7 +454,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole = [F.bit_xor(F.xxhash64("twin", F.lit(i))).alias(f"whole{i}") for i in (0, 1)]
     open_ = labelled.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), *whole).where("low <> high")
     open_ = scratch.keep(open_.dropDuplicates(["n", "whole0", "whole1"]).select("group"))
-    members = in_trees(scratch.keep(labelled.join(open_, "group")), ["group"], "twin", WIDE_TREE).select("group", "chunk", "guest", "twin", "label")
+    members = in_trees(scratch.keep(labelled.join(open_, "group")), ["group"], "twin", scratch, WIDE_TREE).select("group", "chunk", "guest", "twin", "label")
     inside = members.join(sets, "twin").repartition(max(8, ceil(sets.count() / 5_000)), "group", "chunk").sortWithinPartitions("group", "chunk", "guest", "twin")
     more = inside.mapInArrow(_compared, "u long, v long")
     found = scratch.keep(components(links.union(more), scratch))
