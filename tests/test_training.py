@@ -101,3 +101,39 @@ def test_tree_equals_plain_search(l1):
         seen[int(tree["left"][i])], seen[int(tree["right"][i])] = (at[low], depth + 1), (at[~low], depth + 1)
         assert depth < 4
     assert gains == pytest.approx(total) and 2 < leaves <= 9
+
+
+def test_pulls_of_all_queries_equal_each_pair_on_its_own():
+    """Queries of several lengths, without and with only relevant rows; blocks of one and of all queries."""
+    rng = np.random.default_rng(5)
+    qid = np.repeat(np.arange(9), [1, 2, 3, 8, 20, 33, 5, 4, 60])
+    rel = rng.integers(0, 3, len(qid)).astype(float)
+    rel[qid == 6], rel[qid == 7] = 0, 1
+    scores, queries = np.round(rng.normal(size=len(qid)), 1), [np.flatnonzero(qid == q) for q in range(9)]
+    g, h = np.zeros(len(qid)), np.zeros(len(qid))
+    for rows in queries:
+        order = rows[np.argsort(-scores[rows], kind="stable")]
+        discount = {i: 1 / np.log2(k + 2) for k, i in enumerate(order)}
+        ideal = sum(r / np.log2(k + 2) for k, r in enumerate(sorted(rel[rows], reverse=True)))
+        for i in rows:
+            for j in rows:
+                if rel[i] > rel[j]:
+                    rho = 1 / (1 + np.exp(scores[i] - scores[j]))
+                    delta = (rel[i] - rel[j]) * abs(discount[i] - discount[j]) / ideal
+                    g[i], g[j], h[i], h[j] = g[i] + rho * delta, g[j] - rho * delta, h[i] + rho * (1 - rho) * delta, h[j] + rho * (1 - rho) * delta
+    for cells in (1, 1 << 15):
+        pairs = type("Small", (ltr._Pairs,), {"CELLS": cells})(rel, queries)
+        got = pairs.pulls(scores)
+        assert got[0] == pytest.approx(g) and got[1] == pytest.approx(h) and (len(pairs.blocks) > 1) == (cells == 1)
+
+
+def test_training_scores_rows_that_a_tree_was_not_drawn_from(monkeypatch):
+    """A tree adds its values to every row, constant and unused features or not, as the model predicts them later."""
+    rows = np.array(judged())
+    x = np.column_stack([rows[:, 4:], np.ones(len(rows)), np.round(rows[:, 4], 1)])
+    seen = []
+    pulls = ltr._Pairs.pulls
+    monkeypatch.setattr(ltr._Pairs, "pulls", lambda self, scores: seen.append(scores.copy()) or pulls(self, scores))
+    model = ltr.train(x, rows[:, 2], rows[:, 0], list("abcd"), ltr.ENSEMBLE | {"min_data_in_leaf": 5, "num_rounds": 9, "feature_fraction": 0.5}, 1)
+    assert len(model.trees) == 9 and not any((t["feature"] == 2).any() for t in model.trees)
+    assert all(np.allclose(s, model.predict(x, i), atol=1e-12) for i, s in enumerate(seen))
