@@ -137,3 +137,13 @@ def test_training_scores_rows_that_a_tree_was_not_drawn_from(monkeypatch):
     model = ltr.train(x, rows[:, 2], rows[:, 0], list("abcd"), ltr.ENSEMBLE | {"min_data_in_leaf": 5, "num_rounds": 9, "feature_fraction": 0.5}, 1)
     assert len(model.trees) == 9 and not any((t["feature"] == 2).any() for t in model.trees)
     assert all(np.allclose(s, model.predict(x, i), atol=1e-12) for i, s in enumerate(seen))
+
+
+def test_models_train_in_tasks_of_their_own(spark):
+    """Small tables are not drawn together into a few tasks: 20 groups meet in at least 8."""
+    table = spark.createDataFrame(judged(), SCHEMA)
+    folds = spark.createDataFrame([(q, q % 5) for q in range(12)], "qid long, fold int")
+    settings = {f"s{i}": ltr.PARAMS | {"num_rounds": 1, "early_stopping": 0} for i in range(4)}
+    found = ltr.cross_validate(table, folds, settings)
+    assert found.count() == 48
+    assert found.withColumn("task", F.spark_partition_id()).select("task").distinct().count() >= 8
