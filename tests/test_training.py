@@ -147,3 +147,11 @@ def test_models_train_in_tasks_of_their_own(spark):
     found = ltr.cross_validate(table, folds, settings)
     assert found.count() == 48
     assert found.withColumn("task", F.spark_partition_id()).select("task").distinct().count() >= 8
+
+
+def test_prediction_reads_a_stored_training_table(spark):
+    """Six models are trained and applied over one stored table; neither plan holds the features' own."""
+    v = registry.Views(spark, "/root/testdata/sf0.001")
+    plan = ltr.train_models(v.training, ltr.SEEDS)._jdf.queryExecution().toString()
+    assert "InMemoryRelation" not in plan and "Join" not in plan
+    v.release()
